@@ -2,17 +2,19 @@
 
 Two sets with Jaccard similarity of at least t share a token among the first ``n - ceil(t n) + 1`` tokens of both under
 *any* global order. Here every order puts frequent tokens last (token counts of the whole corpus, kept in a table of
-2**20 buckets) and breaks ties by its own hash, so each order is a different filter:
+hash buckets, about one for eight tokens and 2**26 at most) and breaks ties by its own hash, so each order is a
+different filter:
 
-1. for each order, documents that share a prefix token and a length range are joined into that order's clusters;
+1. for each order, the documents that share a prefix token are chained in order of length, broken where lengths differ
+   too much; chains that touch make that order's clusters;
 2. the clusters of the orders are intersected: only documents that fall together under *every* order stay candidates;
 3. inside an intersection, each pair must share a prefix token under every order, and is then verified by its exact
    overlap.
 
 Equal sets are one node throughout, so copies cost a count. Everything that moves is linear in the input: prefix
-tokens with set ids, star edges, and the sets of candidates. A pair is never a row: pairs are verified in blocks of at
+tokens with set ids, chain edges, and the sets of candidates. A pair is never a row: pairs are verified in blocks of at
 most ``block`` shingles, and blocks of one intersection meet two by two, so a large group becomes many tasks. Nothing
-about documents reaches the driver except the counts table, whose size is fixed.
+about documents reaches the driver except the counts table, 64 MB at most.
 
 Defined results: null, empty and wordless texts have no shingles and no links, and are their own component; rows are
 documents, so repeated rows are copies of each other; extra columns are ignored; an empty table gives no rows. Sets are
@@ -21,21 +23,29 @@ compared by 64-bit hashes of their shingles.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.durable import durable
 from eventloom.llm.components import components
-from eventloom.llm.shingles import mix, shingle_sets, signature
-
-BUCKET_BITS = 20
-ORDERS = 2
+from eventloom.llm.shingles import mix, shingle_groups, shingle_sets, signature
+
+#: Tokens of the corpus for one bucket of the counts table, and the bits of its least and largest size. A smaller table
+#: tells fewer rare tokens apart, which costs candidates, never links.
+TOKENS_A_BUCKET, LEAST_BITS, MOST_BITS = 8, 16, 26
+#: Buckets that travel as one row while counts are summed.
+SLICE = 1 << 16
+ORDERS = 2  # the order's number is kept in the lowest bit of keys and nodes
 #: Shingles in one block of a verification task; a task holds two blocks.
-BLOCK = 500_000
+BLOCK = 1_000_000
 #: Candidate ids that may be broadcast to read their texts again; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 2_000_000
 _U = np.uint64
@@ -45,24 +55,25 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def length_class(n: int, percent: int) -> int:
-    """Lengths of linked sets differ by at most one class."""
-    return int(np.log(n) / np.log(100 / percent) + 1e-9)
+def bucket_bits(tokens: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (tokens // TOKENS_A_BUCKET).bit_length()))
+
+
+def _buckets(s: np.ndarray, size: int) -> np.ndarray:
+    return (s >> _U(65 - size.bit_length())).astype(np.int64)
 
 
 def order_keys(s: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
     """Sort keys of tokens: the log of their corpus count, then this order's hash."""
     own = mix(s ^ _U(0x9E3779B97F4A7C15 * (order + 1) & (2**64 - 1)))
-    return (counts[(s >> _U(64 - BUCKET_BITS)).astype(np.int64)].astype(_U) << _U(56)) | (own >> _U(8))
+    return (counts[_buckets(s, len(counts))].astype(_U) << _U(56)) | (own >> _U(8))
 
 
 def prefix(s: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
     p = prefix_length(len(s), percent)
-    return s[np.argsort(order_keys(s, counts, order), kind="stable")[:p]]
-
-
-def _signed(s: np.ndarray) -> np.ndarray:
-    return s.view(np.int64)
+    if p >= len(s):
+        return s
+    return s[np.argpartition(order_keys(s, counts, order), p - 1)[:p]]
 
 
 def document_sets(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
@@ -80,94 +91,139 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, sid long, n_shingles long")
 
 
-def token_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """log2 classes of the corpus counts of token buckets; its size does not depend on the corpus."""
+def _sum_slices(table: pa.Table) -> np.ndarray:
+    total = np.zeros(SLICE, dtype=np.uint32)
+    for x in table.column("counts"):
+        part = zlib.decompress(x.as_py())
+        total += np.frombuffer(part, dtype=np.uint8 if len(part) == SLICE else np.uint32)
+    return total
+
+
+def token_counts(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
+    """Classes (eighths of a power of two) of the corpus counts of 2**bits token buckets.
+
+    A task counts to 255 at most for a bucket, which classes it as frequent all the same. Each task sends its counts as compressed slices; they are summed in two
+    levels, so that no task holds more than about the square root of all slices of a bucket range.
+    """
+    fan = max(1, math.isqrt(docs.rdd.getNumPartitions()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        counts = np.zeros(1 << bits, dtype=np.uint8)
         for batch in batches:
-            held = [s >> _U(64 - BUCKET_BITS) for s in shingle_sets(batch.column(0), k)]
-            if held:
-                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
-
-    rows = docs.select(text).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.floor(F.log2(F.sum("n") + 1)).cast("int").alias("c")).toArrow()
-    classes = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
-    classes[rows.column("bucket").to_numpy()] = rows.column("c").to_numpy()
+            for tokens in shingle_groups(batch.column(0), k):
+                at, n = np.unique(_buckets(tokens, len(counts)), return_counts=True)
+                counts[at] = np.minimum(255, counts[at] + n)
+        number = TaskContext.get().partitionId() % fan
+        parts = [counts[i : i + SLICE] for i in range(0, len(counts), SLICE)]
+        held = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(parts) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int32()), pa.array([number] * len(held), pa.int32()), pa.array([x[1] for x in held], pa.binary())], names=["slice", "fan", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        packed = zlib.compress(_sum_slices(table).tobytes(), 1)
+        return pa.table({"slice": table.column("slice").slice(0, 1), "fan": pa.array([0], pa.int32()), "counts": pa.array([packed], pa.binary())})
+
+    def finish(table: pa.Table) -> pa.Table:
+        classes = np.minimum(255, np.log2(_sum_slices(table).astype(np.float64) + 1) * 8).astype(np.uint8)
+        return pa.table({"slice": table.column("slice").slice(0, 1), "classes": pa.array([classes.tobytes()], pa.binary())})
+
+    rows = docs.select(text).mapInArrow(run, "slice int, fan int, counts binary")
+    rows = rows.groupBy("slice", "fan").applyInArrow(lambda t: add(t), "slice int, fan int, counts binary")
+    classes = np.zeros(1 << bits, dtype=np.uint8)
+    for at, held in rows.groupBy("slice").applyInArrow(lambda t: finish(t), "slice int, classes binary").collect():
+        classes[at * SLICE : (at + 1) * SLICE] = np.frombuffer(held, dtype=np.uint8)
     return classes
 
 
 def prefix_rows(docs: DataFrame, text: str, k: int, percent: int, counts) -> DataFrame:
-    """ord, key, sid: for every order, the prefix tokens of each row's set with its length class and the next."""
+    """key, n, sid: for every order, the prefix tokens of each row's set; the key's lowest bit is the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
 
-        def flush(keys, orders, sids):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(orders)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sids))], names=["ord", "key", "sid"])
+        def flush(keys, sizes, sids, lengths):
+            repeat = np.array(lengths)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), repeat)), pa.array(np.repeat(np.array(sids, dtype=np.int64), repeat))], names=["key", "n", "sid"])
 
         for batch in batches:
-            keys, orders, sids, n = [], [], [], 0
+            keys, sizes, sids, lengths, held = [], [], [], [], 0
             for s in shingle_sets(batch.column(0), k):
                 if not len(s):
                     continue
-                sid, cls = signature(s), length_class(len(s), percent)
+                sid = signature(s)
                 for order in range(ORDERS):
                     tokens = prefix(s, table, order, percent)
-                    for c in (cls, cls + 1):
-                        keys.append(_signed(mix(tokens + _U(c * 0x1F3D5B79A1))))
-                        orders.append(np.full(len(tokens), order, dtype=np.int8))
-                        sids.append(np.full(len(tokens), sid, dtype=np.int64))
-                        n += len(tokens)
-                if n > 200_000:
-                    yield flush(keys, orders, sids)
-                    keys, orders, sids, n = [], [], [], 0
-            if n:
-                yield flush(keys, orders, sids)
+                    keys.append((tokens & ~_U(1)) | _U(order))
+                    sizes.append(len(s))
+                    sids.append(sid)
+                    lengths.append(len(tokens))
+                    held += len(tokens)
+                if held > 200_000:
+                    yield flush(keys, sizes, sids, lengths)
+                    keys, sizes, sids, lengths, held = [], [], [], [], 0
+            if held:
+                yield flush(keys, sizes, sids, lengths)
 
-    return docs.select(text).mapInArrow(run, "ord tinyint, key long, sid long")
+    return docs.select(text).mapInArrow(run, "key long, n int, sid long")
 
 
-def order_clusters(rows: DataFrame) -> list[DataFrame]:
-    """For each order, (node, root) of the sets that share prefix tokens, as star edges from each token's least set."""
-    group = Window.partitionBy("ord", "key")
-    stars = rows.select("ord", "sid", F.min("sid").over(group).alias("least"), F.max("sid").over(group).alias("most")).where("least < most and sid > least")
-    stars = durable(stars.select("ord", "sid", "least").distinct())
-    return [components(stars.where(F.col("ord") == order), "sid", "least") for order in range(ORDERS)]
+def order_clusters(rows: DataFrame, percent: int) -> DataFrame:
+    """sid, c0, c1: the cluster of each set under every order; sets without a partner under some order are left out."""
+    chain = Window.partitionBy("key").orderBy("n", "sid")
+    near = rows.select("key", "n", "sid", F.lag("sid").over(chain).alias("other"), F.lag("n").over(chain).alias("m"))
+    near = near.where((F.col("other") != F.col("sid")) & (100 * F.col("m") >= percent * F.col("n")))
+    mark = F.col("key").bitwiseAND(F.lit(1))
+    edges = near.select(F.col("sid").bitwiseOR(mark).alias("a"), F.col("other").bitwiseOR(mark).alias("b")).distinct()
+    found = components(edges, "a", "b")
+    order = F.col("node").bitwiseAND(F.lit(1))
+    own = [F.max(F.when(order == i, F.col("root"))).alias(f"c{i}") for i in range(ORDERS)]
+    return found.groupBy(F.col("node").bitwiseAND(F.lit(-2)).alias("sid")).agg(*own).dropna()
 
 
-def _incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the tokens that at least two of the sets have."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    kept = count[column] > 1
-    number = np.cumsum(count > 1) - 1
-    return row[kept], number[column[kept]]
+#: A token in more sets than this is counted by a matrix product, one in fewer by pairs.
+OFTEN = 24
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Exact intersection sizes of every set of a with every set of b, by sparse slices of the incidence matrix."""
-    out = np.zeros((len(a), len(b)), dtype=np.float32)
-    row, column = _incidence(a + b)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width = max(64, (4 << 20) // max(1, len(a) + len(b)))
-    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
-    for at, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if i < j:
-            used = np.unique(row[i:j])
-            part = np.zeros((len(used), width), dtype=np.float32)
-            part[np.searchsorted(used, row[i:j]), column[i:j] - at * width] = 1
-            left, right = used < len(a), used >= len(a)
-            if left.any() and right.any():
-                out[np.ix_(used[left], used[right] - len(a))] += part[left] @ part[right].T
+    """Exact intersection sizes of every set of a with every set of b."""
+    out = np.zeros(len(a) * len(b), dtype=np.int64)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
+    tokens = np.concatenate([*a, *b])
+    order = np.argsort(tokens, kind="stable")  # within a token, sets stay in order: those of a before those of b
+    tokens, row = tokens[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    count = np.diff(np.append(first, len(tokens)))
+    often = count > OFTEN
+    column = np.repeat(np.arange(len(first)), count)
+    kept = ((count > 1) & ~often)[column]
+    r, c = row[kept], column[kept]
+    for step in range(1, min(OFTEN, len(r))):
+        same = np.flatnonzero(c[step:] == c[:-step])
+        if not len(same):
+            break
+        x, y = r[same], r[same + step]
+        cross = (x < len(a)) & (y >= len(a))
+        out += np.bincount(x[cross] * len(b) + (y[cross] - len(a)), minlength=len(out))
+    out = out.reshape(len(a), len(b))
+    columns = np.flatnonzero(often)
+    width = max(64, (2 << 20) // (len(a) + len(b)))
+    for i in range(0, len(columns), width):
+        part = columns[i : i + width]
+        dense = np.zeros((len(a) + len(b), len(part)), dtype=np.float32)
+        for j, k in enumerate(part):
+            dense[row[first[k] : first[k] + count[k]], j] = 1
+        out += (dense[: len(a)] @ dense[len(a) :].T).astype(np.int64)
     return out
 
 
-def block_links(sids: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], same: bool, percent: int, counts: np.ndarray) -> Iterator[tuple[int, int]]:
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray], same: bool, percent: int, counts: np.ndarray) -> Iterator[tuple[int, int]]:
     """Index pairs (of left, of right) of linked sets; when both sides are one block, each pair once."""
     cand = np.ones((len(left), len(right)), dtype=bool)
     sizes = [np.array([len(s) for s in side], dtype=np.int64) for side in (left, right)]
@@ -180,9 +236,16 @@ def block_links(sids: np.ndarray, left: list[np.ndarray], right: list[np.ndarray
     if not cand.any():
         return
     rows, columns = np.flatnonzero(cand.any(1)), np.flatnonzero(cand.any(0))
-    shared = _overlaps([left[i] for i in rows], [right[j] for j in columns]).astype(np.int64)
+    if cand.sum() <= 8 * (len(rows) + len(columns)):
+        for i, j in zip(*np.nonzero(cand), strict=True):
+            shared = _overlap(left[i], right[j])
+            if 100 * shared >= percent * (len(left[i]) + len(right[j]) - shared):
+                yield i, j
+        return
+    shared = _overlaps([left[i] for i in rows], [right[j] for j in columns])
     union = sizes[0][rows][:, None] + sizes[1][columns] - shared
-    yield from zip(*(side[at] for side, at in zip((rows, columns), np.nonzero((100 * shared >= percent * union) & cand[np.ix_(rows, columns)]), strict=True)), strict=True)
+    for i, j in zip(*np.nonzero((100 * shared >= percent * union) & cand[np.ix_(rows, columns)]), strict=True):
+        yield rows[i], columns[j]
 
 
 def verified(members: DataFrame, percent: int, counts) -> DataFrame:
@@ -205,7 +268,7 @@ def verified(members: DataFrame, percent: int, counts) -> DataFrame:
                 x = parent[x]
             return x
 
-        for i, j in block_links(np.array(sid), [sets[x] for x in a], [sets[x] for x in b], same, percent, counts.value):
+        for i, j in block_links([sets[x] for x in a], [sets[x] for x in b], same, percent, counts.value):
             x, y = a[i], b[j]
             weight[sid[x]] += copies[y]
             weight[sid[y]] += copies[x]
@@ -217,21 +280,27 @@ def verified(members: DataFrame, percent: int, counts) -> DataFrame:
     return members.groupBy("g", "i", "j").applyInArrow(lambda t: run(t), "sid long, root long, links long")
 
 
-def _token_sets(docs: DataFrame, text: str, wanted: DataFrame, doc_id: str, k: int) -> DataFrame:
-    """sid, tokens of the wanted sets (doc_id, sid), from the texts of the documents that stand for them."""
+def _with_tokens(docs: DataFrame, text: str, wanted: DataFrame, doc_id: str, k: int) -> DataFrame:
+    """wanted (g, sid, doc_id, n_copies, at, last) with tokens, from the texts of the documents that stand for the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(sid, s.tobytes()) for sid, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True) if signature(s) == sid]
-            for i in range(0, len(found), 256):
-                part = found[i : i + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.binary())], names=["sid", "tokens"])
+            first = 0
+            held: list[bytes | None] = []
+            sids = batch.column("sid").to_pylist()
+            for i, s in enumerate(shingle_sets(batch.column("text"), k)):
+                held.append(s.tobytes() if signature(s) == sids[i] else None)
+                if len(held) == 256 or i == len(sids) - 1:
+                    part = batch.slice(first, len(held)).drop_columns(["text"]).append_column("tokens", pa.array(held, pa.binary()))
+                    yield part.filter(pc.is_valid(part.column("tokens")))
+                    first, held = i + 1, []
 
     small = wanted.count() <= BROADCAST_ROWS
-    wanted = wanted.select(F.col("doc_id").alias("w_id"), "sid")
+    wanted = wanted.withColumnRenamed("doc_id", "w_id")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     own = own.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("w_id")))
-    return own.select("sid", "text").mapInArrow(run, "sid long, tokens binary")
+    own = own.select("g", "sid", "n_copies", "at", "last", "text")
+    return own.mapInArrow(run, "g long, sid long, n_copies long, at int, last int, tokens binary")
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
@@ -239,22 +308,20 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     spark = docs.sparkSession
     rows = durable(document_sets(docs, doc_id, text, k))
     sets = durable(rows.where("n_shingles > 0").groupBy("sid", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
-    counts = spark.sparkContext.broadcast(token_counts(docs, text, k))
-    clusters = order_clusters(prefix_rows(docs, text, k, percent, counts))
+    tokens = sets.agg(F.sum(F.col("n_shingles") * F.col("n_copies"))).first()[0] or 0
+    counts = spark.sparkContext.broadcast(token_counts(docs, text, k, bucket_bits(tokens)))
     # the orders' clusters intersected
-    both = sets
-    for order, found in enumerate(clusters):
-        both = both.join(found.select(F.col("node").alias("sid"), F.col("root").alias(f"c{order}")), "sid")
+    both = sets.join(order_clusters(prefix_rows(docs, text, k, percent, counts), percent), "sid")
     names = [f"c{order}" for order in range(ORDERS)]
     group = Window.partitionBy(*names)
     both = both.withColumn("size", F.count("*").over(group)).where("size > 1").withColumn("g", F.xxhash64(*names))
     run_up = Window.partitionBy("g").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("at", F.floor((F.sum("n_shingles").over(run_up) - 1) / block).cast("int"))
     both = durable(both.withColumn("last", F.max("at").over(Window.partitionBy("g"))).select("g", "sid", "doc_id", "n_copies", "at", "last"))
-    tokens = _token_sets(docs, text, both.select("doc_id", "sid"), doc_id, k)
-    meets = both.select("g", "sid", "n_copies", "at", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-    meets = meets.select("g", "sid", "n_copies", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"))
-    found = durable(verified(meets.join(tokens, "sid"), percent, counts))
+    meets = _with_tokens(docs, text, both, doc_id, k).select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    side = (F.col("at") > F.col("other")).cast("int").alias("side")
+    meets = meets.select("g", "sid", "n_copies", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), side, "tokens")
+    found = durable(verified(meets, percent, counts))
     linked = components(found, "sid", "root").select(F.col("node").alias("sid"), "root")
     per_set = sets.join(linked, "sid", "left").join(found.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left")
     per_set = per_set.withColumn("root", F.coalesce("root", "sid"))

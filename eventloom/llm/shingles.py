@@ -86,6 +86,15 @@ def text_chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, list
         yield first, held
 
 
+def shingle_groups(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Shingle hashes of many rows at a time, repeats within a row included."""
+    for _, texts in text_chunks(column):
+        hashes, bounds = word_hashes(texts)
+        held = [shingle_hashes(hashes[a:b], k) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b > a]
+        if held:
+            yield np.concatenate(held)
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each row, its sorted distinct shingle hashes; empty for null and wordless texts."""
     for _, texts in text_chunks(column):
@@ -95,9 +104,10 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def signature(s: np.ndarray) -> int:
-    """A signed 64-bit value of a sorted set; 0 only for the empty set."""
+    """A signed even 64-bit value of a sorted set, so its lowest bit is free for a mark; 0 only for the empty set."""
     if not len(s):
         return 0
     spread = mix(s + _U(len(s)))
     value = int(mix(np.array([(int(spread.sum(dtype=_U)) ^ int(np.bitwise_xor.reduce(mix(spread + _U(7)))) + len(s)) & (2**64 - 1)], dtype=_U))[0])
-    return (value or 1) - (1 << 64 if value >= 1 << 63 else 0)
+    value = value & ~1 or 2
+    return value - (1 << 64 if value >= 1 << 63 else 0)
