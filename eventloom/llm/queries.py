@@ -36,7 +36,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(_table(spark, sf_dir, "documents"))
     plain = F.filter("spans", lambda s: s.plain)
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
-    counts = [F.size(F.filter(plain, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of = lambda kind: F.size(F.filter(plain, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(line(plain), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
