@@ -32,17 +32,17 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.codes import ALPHABET, codepoints, tables, text_batches
 
-SAMPLE = 6000
+SAMPLE = 4000
 DECAY = 0.75
 #: Steps between the four letters, at most two letters skipped in all.
 PATTERNS = tuple((a, b, c) for a in (1, 2, 3) for b in (1, 2, 3) for c in (1, 2, 3) if a + b + c <= 5)
 SUBSEQUENCES = ALPHABET**4
-LANDMARKS = 288
+LANDMARKS = 400
 HARMLESS = 30_000
 #: Times that the machine is trained again on its worst mistakes.
-ROUNDS = 3
+ROUNDS = 4
 #: Different left neighbours that make a word evidence, and how much likelier toxic texts must have it.
-EVIDENCE, RATIO = 6, 10.0
+EVIDENCE, RATIO = 5, 40.0
 NO_WORD = -3.0
 BOUND = 1
 #: Signs that stand for letters.
@@ -175,11 +175,9 @@ class Landmarks:
         number, norm = _word_numbers(code)
         found = [(key, number[at], weight) for key, at, weight in _occurrences(code)]
         self.keys = np.unique(np.concatenate([x[0] for x in found]))
-        self.row = np.zeros(SUBSEQUENCES, dtype=np.int32)
-        self.row[self.keys] = np.arange(1, len(self.keys) + 1)
-        self.table = np.zeros((len(self.keys) + 1, len(self.words)), dtype=np.float32)
+        self.table = np.zeros((len(self.keys), len(self.words)), dtype=np.float32)
         for key, own, weight in found:
-            np.add.at(self.table, (self.row[key], own), weight)
+            np.add.at(self.table, (np.searchsorted(self.keys, key), own), weight)
         self.table /= norm[: len(self.words)].astype(np.float32)
 
     def kernel(self, words: list[str]) -> np.ndarray:
@@ -191,30 +189,32 @@ class Landmarks:
             number, norm = _word_numbers(code)
             rows = np.zeros((len(part), len(self.words)), dtype=np.float32)
             for key, at, weight in _occurrences(code):
-                hit = np.flatnonzero((self.row[key] > 0) & (number[at] < len(part)))
+                row = np.searchsorted(self.keys, key)
+                row[row == len(self.keys)] = 0
+                hit = np.flatnonzero((self.keys[row] == key) & (number[at] < len(part)))
                 if len(hit):
                     own = number[at[hit]]
                     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    rows[own[first]] += weight * np.add.reduceat(self.table[self.row[key[hit]]], first, axis=0)
+                    rows[own[first]] += weight * np.add.reduceat(self.table[row[hit]], first, axis=0)
             out.append(rows / norm[: len(part), None])
-        return np.concatenate(out).astype(np.float64)
+        return np.concatenate(out)
 
     def machine(self, bad: list[str], good: list[str], evidence: np.ndarray, frequency: np.ndarray) -> ToxicityModel:
         """The machine that tells bad from good words, without its sigmoid."""
-        k = self.kernel(self.words)
+        k = self.kernel(self.words).astype(np.float64)
         value, vector = np.linalg.eigh((k + k.T) / 2)
         kept = value > 1e-5 * value.max()
-        root = vector[:, kept] / np.sqrt(value[kept])
+        root = (vector[:, kept] / np.sqrt(value[kept])).astype(np.float32)
         x = np.vstack([self.kernel(bad), self.kernel(good)]) @ root
         y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
         weight = np.concatenate([0.5 * frequency.sum() * evidence / evidence.sum(), frequency])
         w = _svm(x, y, weight / weight.mean())
-        return ToxicityModel(self.keys.astype(np.int64), self.table[1:] @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0, tuple(self.words))
+        return ToxicityModel(self.keys.astype(np.int64), self.table @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0, tuple(self.words))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, cost: float = 2.0) -> np.ndarray:
     """Squared-hinge linear machine by Newton steps with halving; the last value is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-3
 
@@ -224,8 +224,13 @@ def _svm(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, cost: float =
     now = loss(w)
     for _ in range(60):
         bad = 1 - y * (x @ w) > 0
-        xb, c = x[bad], cost * sample_weight[bad]
-        step = np.linalg.solve(np.diag(ridge) + xb.T @ (xb * c[:, None]), xb.T @ (c * y[bad])) - w
+        matrix, target = np.diag(ridge), np.zeros(len(w))
+        for i in range(0, len(x), 4096):
+            at = np.flatnonzero(bad[i : i + 4096]) + i
+            xb, c = x[at].astype(np.float64), cost * sample_weight[at]
+            matrix = matrix + xb.T @ (xb * c[:, None])
+            target += xb.T @ (c * y[at])
+        step = np.linalg.solve(matrix, target) - w
         rate = 1.0
         while (new := loss(w + rate * step)) > now and rate > 1e-4:
             rate /= 2
@@ -235,18 +240,16 @@ def _svm(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, cost: float =
     return w
 
 
-def _word_strings(texts: list[str]) -> list[list[str]]:
+def _word_strings(texts: Iterator[str]) -> Iterator[list[str]]:
     """Squeezed words of each text as lower-case strings, look-alikes resolved."""
     alike = str.maketrans(LOOK_ALIKES)
-    out = []
     for t in texts:
         words = []
         for w in t.lower().split():
             w = "".join(c for c in (w if w.isalpha() else w.strip("0123456789!$@").translate(alike)) if c.isalpha())
             if w:
                 words.append(w)
-        out.append(words)
-    return out
+        yield words
 
 
 def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
@@ -257,7 +260,7 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     number = {0: 0, 1: 0}
     # left neighbours in toxic texts, number of texts of either label
     context, toxic, harmless = defaultdict(set), defaultdict(int), defaultdict(int)
-    for words, (_, label) in zip(_word_strings([t for t, _ in rows]), rows, strict=True):
+    for words, (_, label) in zip(_word_strings(t for t, _ in rows), rows, strict=True):
         number[label] += 1
         if label:
             for left, w in zip(["", *words], words, strict=False):
@@ -275,7 +278,7 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     evidence = np.sqrt(np.array([len(context[w]) for w in bad], dtype=np.float64))
     quarter = LANDMARKS // 4
     landmarks, good = bad[:quarter] + common[:quarter], common[: HARMLESS // 2]
-    every = _encode(common)
+    every, spread = _encode(common), np.sqrt(np.array([harmless[w] for w in common], dtype=np.float64))
     model = FLAT
     # each round trains again with the harmless words that the last machine found worst, as examples and as landmarks
     for extra in (2 * quarter // ROUNDS,) * ROUNDS + (0,):
@@ -283,9 +286,11 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
         frequency = np.sqrt(np.array([harmless[w] for w in good], dtype=np.float64))
         model = Landmarks(landmarks).machine(bad, good, evidence, frequency)
         if extra:
-            worst = np.argsort(-word_margins(every, model.weights)[: len(common)], kind="stable")
+            margin = word_margins(every, model.weights)[: len(common)] + model.bias
+            worst = np.argsort(-margin, kind="stable")
             good = list(dict.fromkeys(good + [common[i] for i in worst[: HARMLESS // 2 // ROUNDS]]))
-            landmarks = list(dict.fromkeys(landmarks + [common[i] for i in worst[:extra]]))
+            harm = np.maximum(0, margin + 0.5) * spread
+            landmarks = list(dict.fromkeys(landmarks + [common[i] for i in np.argsort(-harm, kind="stable")[:extra]]))
     rest = rest if {x for _, x in rest} == {0, 1} else rows
     margin = np.concatenate([text_margins(model, [t for t, _ in rest[i : i + 200]]) for i in range(0, len(rest), 200)])
     slope, offset = _sigmoid(margin, np.array([x for _, x in rest]))
