@@ -1,5 +1,78 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""Corpus pipeline: toxicity, n-gram Jaccard join, benchmark decontamination, secret scans, SentencePiece encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that it is given and returns a DataFrame; every stage but the
+last returns the columns of documents. ``run`` applies them in order and writes each result, so that a stage reads
+stored rows and a lost executor costs tasks, not stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.functions.durable import durable
+from eventloom.llm import decontam, jaccard, langid, pieces, secret_scan, toxicity
+
+#: No single SQL statement can express the learned stages; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted label is not toxic; learned from labels outside the held-out fifth."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.is_held_out(F.col("doc_id")))
+    model = toxicity.learn(docs, labels)
+    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+
+
+#: Ids that may be broadcast to drop their documents (16 bytes each); beyond it Spark joins by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is not in ids; a null id is never dropped. Texts move only if there are too many ids to broadcast."""
+    gone = durable(ids.select(F.col("doc_id").alias("gone")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of linked documents; documents without words stay, and so do rows
+    that repeat a document's id."""
+    found = jaccard.jaccard_join(docs.select("doc_id", "text"))
+    return _without(docs, found.where("component_id <> doc_id"))
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontam.find_windows(docs, items))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and n_chars counted anew where the text changed."""
+    forest = secret_scan.learn(secret_scan.labelled_findings(spark))
+    redacted = secret_scan.redact(docs.withColumn("__before", F.col("text")), forest)
+    changed = ~F.col("text").eqNullSafe(F.col("__before"))
+    return redacted.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__before")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids, round_trip of every document."""
+    return pieces.encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", remove_contaminated),
+    ("secret scans", redact_secrets),
+    ("SentencePiece encoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

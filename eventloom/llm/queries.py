@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, decontam, jaccard, langid, pieces, pii, quality, secret_scan, toxicity
+from eventloom.llm import chat, decontam, html_extract, jaccard, langid, pieces, pii, quality, secret_scan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.fit(html_extract.labelled_pages())
+    found = html_extract.extract(_table(spark, sf_dir, "pages"), model)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_html_extraction": op4_html_extraction,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_pii": op7_pii,
