@@ -8,8 +8,8 @@ last piece and back pointer. The window holds the bounds that a later piece can
 whenever the back pointers of all of them meet at one bound, the ids before it are committed and forgotten.
 
 No piece of the vocabulary continues past a word (a blank is written at the head of a word), which ``PieceCoder``
-verifies; so all paths meet at the head of every word, and words that come again are looked up. A text without blanks
-is streamed through the window all the same. The ids equal those of the public library for the same file.
+verifies; so all paths meet at the head of every word, as between any two characters that no piece holds side by side,
+and stretches that come again are looked up. A text without such places is streamed through the window all the same. The ids equal those of the public library for the same file.
 
 Only pieces and scores travel to the executors, not the file. Defined results: null and empty texts have no ids;
 characters outside the vocabulary become byte pieces; decoding gives the text back, but U+2581, which the format itself
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Words kept for look-up in a worker, and the longest of them.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 350_000, 64
+#: Beginnings of words up to so many characters are kept, too.
+BEGINNING = 16
 
 
 @dataclass
@@ -66,7 +68,10 @@ class PieceCoder:
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a piece goes on past the head of a word")
         self.letters = {c for p in self.ids for c in p}
+        # characters that no piece holds side by side: all paths meet between them
+        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.pair: dict[tuple[str, str], bool] = {}
+        self.beginnings: dict[str, str] = {}
         # pieces that merging their own characters gives, and single characters that only longer pieces hold
         self.standing = {p for p in self.ids if self.merged(p) == [p]} | self.letters
         self.after_blank, self.plain = _Words(self, BLANK), _Words(self, "")
@@ -106,7 +111,16 @@ class PieceCoder:
         base = 0  # the first bound in the window; everything before is committed
         last: list[str] = [""]  # the surviving last piece at each bound of the window
         standing, letters, longest, pair, compatible = self.standing, self.letters, self.longest, self.pair, self.compatible
+        # the surviving piece at a bound depends on nothing after it, so beginnings that came before are looked up
+        known_last = self.beginnings
+        if len(known_last) > CACHE:
+            known_last.clear()
         for i in range(1, len(text) + 1):
+            if i <= BEGINNING:
+                chosen = known_last.get(text[:i])
+                if chosen is not None:
+                    last.append(chosen)
+                    continue
             chosen = c = text[i - 1]
             if c in letters:
                 for start in range(max(base, i - longest), i):
@@ -121,6 +135,8 @@ class PieceCoder:
                             chosen = piece
                             break
             last.append(chosen)
+            if i <= BEGINNING:
+                known_last[text[:i]] = chosen
             if len(last) > 2 * longest:
                 # bounds that a later piece can begin at, each followed back until they meet
                 alive = set(range(len(last) - longest, len(last)))
@@ -205,7 +221,18 @@ class _Words(dict):
         self.coder, self.head = coder, head
 
     def __missing__(self, word: str) -> bytes:
-        found = array("i", [i for piece in self.coder.stream(self.head + word.replace(" ", BLANK)) for i in self.coder.piece_ids(piece)]).tobytes()
+        coder = self.coder
+        if not word.isalpha():
+            core = word.rstrip(".,;:!?")
+            if core and len(core) < len(word) and word[len(core) - 1 : len(core) + 1] not in coder.neighbours:
+                return self[core] + coder.plain[word[len(core) :]]
+            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in coder.neighbours]
+            if cuts:
+                found = self[word[: cuts[0]]] + b"".join([coder.plain[word[i:j]] for i, j in zip(cuts, [*cuts[1:], len(word)], strict=True)])
+                return self.keep(word, found)
+        return self.keep(word, array("i", [i for piece in coder.stream(self.head + word) for i in coder.piece_ids(piece)]).tobytes())
+
+    def keep(self, word: str, found: bytes) -> bytes:
         if len(word) <= LONGEST:
             if len(self) >= CACHE:
                 self.clear()
