@@ -1,7 +1,498 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over whole tables and their SQL twins.
+
+Floats are rounded to six places on both sides, as the two engines add in different orders.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from eventloom.functions import parsing, text
+from eventloom.functions.vectors import dot, mean_pool
+from eventloom.operators import chunking, clustering, context, evaluation, graph, keywords, selection, sentences
+from eventloom.sources import catalog, readers
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# --- documents, sentences, chunks -------------------------------------------------------------------------------------
+
+
+def doc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").where("text is not null")
+    return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
+
+
+def chunk_text_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentences.line_sentences(_t(spark, sf_dir, "documents")).withColumnsRenamed({"idx": "chunk_idx", "sentence": "text"})
+    return catalog.first_of_equal_texts(rows, ["doc_id", "chunk_idx"]).select("doc_id", "chunk_idx", F.sha2("text", 256).alias("sha256"))
+
+
+def sentence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.line_sentences(_t(spark, sf_dir, "documents"))
+
+
+def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentences.context_windows(sentences.line_sentences(_t(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "idx", F.length("combined").alias("n_chars"), F.md5("combined").alias("digest"))
+
+
+HEX = "0123456789abcdef"
+
+
+def _hashed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, idx, vector: counts of the window's words by the first digit of their digest, a hashing embedder in SQL."""
+    rows = sentences.line_sentences(_t(spark, sf_dir, "documents"))
+    digits = F.array_join(F.transform(F.split("sentence", " "), lambda w: F.left(F.md5(w), F.lit(1))), "")
+    rows = rows.select("doc_id", "idx", F.length("sentence").alias("n"), digits.alias("d"))
+    rows = rows.select("doc_id", "idx", "n", *[(F.length("d") - F.length(F.replace("d", F.lit(h), F.lit("")))).alias(f"v{h}") for h in HEX])
+    near = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(-2, 2)
+    return rows.select("doc_id", "idx", "n", F.array(*[F.sum(f"v{h}").over(near) for h in HEX]).alias("vector"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: lines, windows, vectors, distances, percentile breaks and segments of every document."""
+    rows = chunking.consecutive_distance(_hashed_windows(spark, sf_dir), "doc_id", "idx", "vector")
+    rows = rows.withColumn("distance_to_next", _r(F.col("distance_to_next"), 9))
+    broken = chunking.segments(chunking.breakpoints(rows, "doc_id"), "doc_id", "idx")
+    made = broken.groupBy("doc_id", "segment").agg(F.min("idx").alias("from_idx"), F.max("idx").alias("to_idx"), F.sum("n").alias("n_chars"))
+    return made
+
+
+_LINES = r"""lines AS (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT - 1 AS idx FROM (
+  SELECT doc_id, i, trim(regexp_replace(l, '^[.!?…]+', '')) AS sentence FROM (
+    SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS l,
+      generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS i FROM documents))
+  WHERE sentence <> '' AND NOT (length(sentence) < 8 AND regexp_matches(lower(sentence), '(?:%s)$')))""" % "|".join(a.replace(".", "[.]") for a in sentences.ABBREVIATIONS)
+
+_WINDOWS_SQL = f"""WITH {_LINES} SELECT doc_id, idx, length(c) AS n_chars, md5(c) AS digest FROM (
+  SELECT doc_id, idx, array_to_string(list(sentence) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ' ') AS c FROM lines)"""
+
+_SUMS = ", ".join(f"sum(length(d) - length(replace(d, '{h}', ''))) OVER w" for h in HEX)
+_SEGMENTS_SQL = f"""WITH {_LINES},
+d AS (SELECT doc_id, idx, length(sentence) AS n, array_to_string(list_transform(string_split(sentence, ' '), lambda x: left(md5(x), 1)), '') AS d FROM lines),
+v AS (SELECT doc_id, idx, n, [{_SUMS}]::DOUBLE[] AS v FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+x AS (SELECT *, lead(v) OVER (PARTITION BY doc_id ORDER BY idx) AS u FROM v),
+g AS (SELECT *, round(1 - list_dot_product(v, u) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(u, u))), 9) AS g FROM x),
+b AS (SELECT *, coalesce(g > quantile_cont(g, 0.95) OVER (PARTITION BY doc_id), FALSE) AS b FROM g),
+s AS (SELECT *, coalesce(sum(b::INT) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment FROM b)
+SELECT doc_id, segment, min(idx) AS from_idx, max(idx) AS to_idx, sum(n)::BIGINT AS n_chars FROM s GROUP BY doc_id, segment"""
+
+
+def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as chunks, short ones merged; no SQL twin, as a left fold that stops on lengths is not a window."""
+    rows = sentences.line_sentences(_t(spark, sf_dir, "documents"))
+    made = rows.select("doc_id", F.col("idx").alias("chunk_idx"), F.col("idx").alias("from_idx"), F.col("idx").alias("to_idx"), F.col("sentence").alias("text"))
+    return chunking.merge_short(made).select("doc_id", "chunk_idx", "from_idx", "to_idx", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentences.sentences(_t(spark, sf_dir, "documents"), "sentence")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.col("start") + F.length("sentence")).alias("last_end"))
+
+
+def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentences.paragraphs(_t(spark, sf_dir, "pages").withColumnsRenamed({"page_id": "doc_id", "html": "text"}), "sentence")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.sum(F.col("p_end") - F.col("p_start")).alias("n_chars"))
+
+
+def embed_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", text.embed_clean(F.col("text")).alias("cleaned"))
+
+
+def head_tail_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.head_tail(F.col("text"))).alias("digest"))
+
+
+_HEAD_TAIL_SQL = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS t FROM documents)
+SELECT doc_id, md5(CASE WHEN len(t) <= 200 THEN trim(x) ELSE array_to_string(list_concat(t[least(1000, len(t) - 100) + 1:least(1000, len(t) - 100) + 100],
+  CASE WHEN len(t) > 1100 THEN t[len(t) - 1100 + 1:len(t) - 1000] ELSE t[len(t) - 99:len(t)] END), ' ') END) AS digest FROM t"""
+
+
+# --- keywords ---------------------------------------------------------------------------------------------------------
+
+
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    found = keywords.tfidf(docs, ["doc_id"], F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), top=5)
+    return found.select("doc_id", "term", _r(F.col("weight")).alias("weight"), "rank")
+
+
+_TFIDF_SQL = """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
+w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents WHERE text IS NOT NULL)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
+n AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term)::INT AS rank FROM n)
+SELECT doc_id, term, round(weight, 6) AS weight, rank FROM r WHERE rank <= 5"""
+
+
+def keyword_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentences.line_sentences(_t(spark, sf_dir, "documents"))
+    rows = rows.select("doc_id", "idx", F.split("sentence", " ").alias("keywords"))
+    found = keywords.interleave(rows, "doc_id", "idx", "keywords")
+    return found.select("doc_id", F.size("keywords").alias("n"), F.md5(F.array_join("keywords", "|")).alias("digest"))
+
+
+_INTERLEAVE_SQL = f"""WITH {_LINES}, f AS (SELECT doc_id, idx, unnest(string_split(sentence, ' ')) AS w, generate_subscripts(string_split(sentence, ' '), 1) AS k FROM lines),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY k, idx, w) AS seen FROM f),
+r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY k, idx) AS n FROM o WHERE seen = 1)
+SELECT doc_id, count(*)::INT AS n, md5(string_agg(w, '|' ORDER BY n)) AS digest FROM r WHERE n <= 50 GROUP BY doc_id"""
+
+
+def rake_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", keywords.text_keywords(F.col("text"), "rake", top=10).alias("keywords"))
+
+
+def yake_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", keywords.text_keywords(F.col("text"), "yake", top=10).alias("keywords"))
+
+
+# --- vectors ----------------------------------------------------------------------------------------------------------
+
+
+def consecutive_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.consecutive_distance(_t(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    return rows.select("vec_id", "label", _r(F.col("distance_to_next")).alias("distance_to_next"))
+
+
+def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.consecutive_distance(_t(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    return rows.withColumn("distance_to_next", _r(F.col("distance_to_next"), 9))
+
+
+def breakpoints_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.breakpoints(_distances(spark, sf_dir), "label").where("is_break")
+    return rows.select("vec_id", "label", _r(F.col("distance_to_next")).alias("distance_to_next"), _r(F.col("threshold")).alias("threshold"))
+
+
+def vector_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.segments(chunking.breakpoints(_distances(spark, sf_dir), "label"), "label", "vec_id")
+    return rows.groupBy("label", "segment").agg(F.min("vec_id").alias("from_id"), F.max("vec_id").alias("to_id"), F.count("*").alias("n"))
+
+
+_V = "list_transform(embedding, lambda x: x::DOUBLE)"
+_DIST = f"""v AS (SELECT vec_id, label, {_V} AS v, lead({_V}) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM embeddings),
+g AS (SELECT vec_id, label, 1 - list_dot_product(v, u) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(u, u))) AS g FROM v)"""
+_BREAKS = f"""{_DIST}, b AS (SELECT vec_id, label, round(g, 9) AS g, quantile_cont(round(g, 9), 0.95) OVER (PARTITION BY label) AS t FROM g)"""
+
+
+def mean_pool_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = mean_pool(_t(spark, sf_dir, "embeddings"), "label", "embedding")
+    return pooled.select("label", F.posexplode("embedding").alias("pos", "x")).select("label", "pos", _r(F.col("x")).alias("x"))
+
+
+_POOL_SQL = f"""WITH u AS (SELECT label, unnest(v) / sqrt(list_dot_product(v, v)) AS x, generate_subscripts(v, 1) - 1 AS pos FROM (SELECT label, {_V} AS v FROM embeddings)),
+m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY label, pos)
+SELECT label, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m"""
+
+
+def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors against the first one, labels as clusters."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    rows = selection.relevance(vectors.withColumnsRenamed({"vec_id": "chunk_id", "label": "cluster_id"}), asked)
+    return rows.withColumn("similarity", _r(F.col("similarity"), 9))
+
+
+def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = _relevance(spark, sf_dir).orderBy(F.col("similarity").desc(), "chunk_id").limit(30)
+    return best.select("chunk_id", "cluster_id", _r(F.col("similarity")).alias("similarity"))
+
+
+def cluster_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.cluster_quotas(_relevance(spark, sf_dir))
+    return found.select("cluster_id", "size", _r(F.col("score")).alias("score"), _r(F.col("weight")).alias("weight"), "quota")
+
+
+def zscore_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.zscores(_relevance(spark, sf_dir), "similarity", "query_id").select("chunk_id", _r(F.col("z")).alias("z"))
+
+
+def sim_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relevance(spark, sf_dir).groupBy("cluster_id").agg(_r(F.percentile("similarity", F.lit(0.7))).alias("floor"))
+
+
+_REL = f"""q AS (SELECT {_V} AS q FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id AS chunk_id, label AS cluster_id, round(list_dot_product({_V}, q) / (sqrt(list_dot_product({_V}, {_V})) * sqrt(list_dot_product(q, q))), 9) AS s FROM embeddings, q)"""
+_QUOTA_SQL = f"""WITH {_REL}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY s DESC, chunk_id) AS r FROM s),
+c AS (SELECT cluster_id, count(*) AS size, avg(s) FILTER (r <= 3) AS score FROM r GROUP BY cluster_id),
+w AS (SELECT *, exp((score - max(score) OVER ()) / 0.5) AS up FROM c),
+h AS (SELECT *, up / sum(up) OVER () AS weight, least(25, sum(size) OVER ()) AS n FROM w),
+a AS (SELECT *, n * (0.5 * weight + 0.5 / count(*) OVER ()) AS share FROM h),
+b AS (SELECT *, least(floor(share), size) AS base FROM a),
+l AS (SELECT *, n - sum(base) OVER () AS rest, row_number() OVER (ORDER BY CASE WHEN base < size THEN 0 ELSE 1 END, share - floor(share) DESC, score DESC, cluster_id) AS place FROM b),
+p AS (SELECT *, base + CASE WHEN base < size AND place <= rest THEN 1 ELSE 0 END AS plus FROM l),
+f AS (SELECT *, n - sum(plus) OVER () AS more, coalesce(sum(size - plus) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free FROM p)
+SELECT cluster_id, size, round(score, 6) AS score, round(weight, 6) AS weight, (plus + greatest(0, least(size - plus, more - free)))::BIGINT AS quota FROM f"""
+
+
+def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _relevance(spark, sf_dir)
+    found = selection.select(rows, selection.cluster_quotas(rows))
+    return found.select("chunk_id", "pick", "cluster_id", _r(F.col("similarity")).alias("similarity"), _r(F.col("mmr_score")).alias("mmr_score"), "stop_reason")
+
+
+FIRST_PICKS = 4
+
+
+def mmr_first_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _relevance(spark, sf_dir)
+    settings = selection.Settings(max_n=FIRST_PICKS, min_n=FIRST_PICKS)
+    free = rows.groupBy("query_id", "cluster_id").agg(F.count("*").alias("quota"))
+    return selection.select(rows, free, settings).select("chunk_id", "pick", _r(F.col("mmr_score")).alias("mmr_score"))
+
+
+def _mmr_sql() -> str:
+    """The greedy steps as a chain: each picks the best of what the steps before left."""
+    steps = [f"e AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT vec_id, label, {_V} AS v FROM embeddings))", "m0 AS (SELECT chunk_id, cluster_id, s, v, 0.0::DOUBLE AS near, NULL::INT AS pick, NULL::DOUBLE AS mmr FROM s JOIN e ON vec_id = chunk_id)"]
+    for i in range(1, FIRST_PICKS + 1):
+        steps.append(f"b{i} AS (SELECT chunk_id AS b, v AS bv, 0.7 * s - (1 - 0.7) * near AS g FROM m{i - 1} WHERE pick IS NULL ORDER BY g DESC, cluster_id, chunk_id LIMIT 1)")
+        steps.append(f"m{i} AS (SELECT chunk_id, cluster_id, s, v, greatest(near, list_dot_product(v, bv)) AS near, CASE WHEN chunk_id = b THEN {i} ELSE pick END AS pick, CASE WHEN chunk_id = b THEN g ELSE mmr END AS mmr FROM m{i - 1}, b{i})")
+    return f"WITH {_REL}, " + ", ".join(steps) + f" SELECT chunk_id, pick::INT AS pick, round(mmr, 6) AS mmr_score FROM m{FIRST_PICKS} WHERE pick IS NOT NULL"
+
+
+def silhouette_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.silhouette_scores(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return found.groupBy("label").agg(F.count("*").alias("n"), _r(F.avg("silhouette")).alias("silhouette"))
+
+
+_SILHOUETTE_SQL = f"""WITH e AS (SELECT vec_id, label, {_V} AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.label, b.label AS other, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
+ab AS (SELECT vec_id, label, min(d) FILTER (other = label) AS a, min(d) FILTER (other <> label) AS b FROM d GROUP BY vec_id, label)
+SELECT label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab GROUP BY label"""
+
+
+def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, scores = clustering.sweep(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=5, most=7, restarts=2)
+    return scores.select("k", "is_best")
+
+
+# --- graph ------------------------------------------------------------------------------------------------------------
+
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every even vector as the summary of an event, the next one as its influence."""
+    held = _t(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("event"), (F.col("vec_id") % 2).alias("side"), F.col("embedding").alias("vector"))
+    return graph.candidate_pairs(held.where("side = 0"), held.where("side = 1")).withColumn("similarity", _r(F.col("similarity"), 9))
+
+
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("i", "j", _r(F.col("similarity")).alias("similarity"))
+
+
+def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top_pairs(_pairs(spark, sf_dir)).select("i", "j", _r(F.col("similarity")).alias("similarity"))
+
+
+_PAIRS_SQL = f"""WITH h AS (SELECT vec_id // 2 AS event, vec_id % 2 AS side, {_V} AS v FROM embeddings),
+p AS (SELECT a.event AS i, b.event AS j, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS s FROM h a JOIN h b ON a.side = 0 AND b.side = 1 AND a.event <> b.event)
+SELECT i, j, round(s, 6) AS similarity FROM p"""
+
+#: Relation labels of the nation graph, by order priority.
+LABELS = {"1-URGENT": "contradiction", "2-HIGH": "causal", "3-MEDIUM": "amplification", "4-NOT SPECIFIED": "mitigation", "5-LOW": "coreference"}
+
+
+def _nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations, and the relations from customers' to suppliers' nations, one for each pair and label."""
+    label = F.lit(None).cast("string")
+    for k, v in LABELS.items():
+        label = F.when(F.col("o_orderpriority") == k, v).otherwise(label)
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", label.alias("label"))
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    flat = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    flat = flat.join(_t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("c_nationkey <> s_nationkey")
+    relations = flat.groupBy(F.col("c_nationkey").alias("source_id"), F.col("s_nationkey").alias("target_id"), "label").agg(F.sum("n").alias("n"))
+    return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title")), relations
+
+
+def _nation_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, relations = _nation_graph(spark, sf_dir)
+    return nodes, graph.edges(relations, nodes)
+
+
+def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_edges(spark, sf_dir)[1].select("src", "dst", "label", "w_in", "w_out")
+
+
+def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.out_degree(_nation_edges(spark, sf_dir)[1]).select("src", _r(F.col("degree")).alias("degree"))
+
+
+def outgoing_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, made = _nation_edges(spark, sf_dir)
+    return graph.outgoing_bonus(made, nodes).select("id", _r(F.col("bonus")).alias("bonus"))
+
+
+ROUNDS = 10
+
+
+def pagerank_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, made = _nation_edges(spark, sf_dir)
+    return graph.pagerank(made, nodes, iterations=ROUNDS, tolerance=None).select("id", _r(F.col("pagerank")).alias("pagerank"))
+
+
+def rating_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, made = _nation_edges(spark, sf_dir)
+    found = graph.ratings(made, nodes, iterations=ROUNDS, tolerance=None)
+    return found.select("id", *[_r(F.col(c)).alias(c) for c in ("pagerank", "outgoing_bonus", "score")])
+
+
+def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, made = _nation_edges(spark, sf_dir)
+    return graph.pagerank(made, nodes).select("id", _r(F.col("pagerank"), 4).alias("pagerank"))
+
+
+def _case(column: str, table: dict[str, object]) -> str:
+    return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items()) + " END"
+
+
+_EDGES = f"""rel AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst, {_case("o_orderpriority", LABELS)} AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
+edges AS (SELECT src, dst, label, {_case("label", graph.WEIGHT_IN)}::DOUBLE AS w_in, {_case("label", graph.WEIGHT_OUT)}::DOUBLE AS w_out FROM rel)"""
+_BONUS = "bonus AS (SELECT n_nationkey AS id, coalesce(s, 0) / max(coalesce(s, 0)) OVER () AS bonus FROM nation LEFT JOIN (SELECT src, sum(w_out) AS s FROM edges GROUP BY src) ON src = n_nationkey)"
+
+
+def _ranks(rounds: int) -> str:
+    out = ["flat AS (SELECT src, dst, sum(w_in) / sum(sum(w_in)) OVER (PARTITION BY src) AS p FROM edges GROUP BY src, dst)", "nn AS (SELECT count(*) AS n FROM nation)", "r0 AS (SELECT n_nationkey AS id, 1.0::DOUBLE / n AS r FROM nation, nn)"]
+    for i in range(1, rounds + 1):
+        lost = f"(SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM flat))"
+        out.append(f"r{i} AS MATERIALIZED (SELECT a.id, 0.85 * (coalesce(f, 0) + {lost} / n) + 0.15 / n AS r FROM r{i - 1} a CROSS JOIN nn LEFT JOIN (SELECT dst, sum(p * r) AS f FROM flat JOIN r{i - 1} ON id = src GROUP BY dst) ON dst = a.id)")
+    out.append(f"ranks AS (SELECT id, r / sum(r) OVER () AS pagerank FROM r{rounds})")
+    return ", ".join(out)
+
+
+def context_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of the nations, best outgoing bonus first."""
+    nodes, relations = _nation_graph(spark, sf_dir)
+    bonus = graph.outgoing_bonus(graph.edges(relations, nodes), nodes).select("id", _r(F.col("bonus")).alias("score"))
+    none = F.lit(None)
+    events = nodes.select("id", F.col("id").alias("pos"), "title", F.lower("title").alias("summary"), none.cast("string").alias("description"), F.array("title").alias("actors"), none.cast("array<string>").alias("locations"), F.array(F.struct(F.col("id").cast("string").alias("value"), F.lit("key").alias("explanation"))).alias("associated_numbers"), none.cast("array<string>").alias("influence"))
+    top = context.top_events(events, bonus, 10)
+    placed = relations.withColumn("pos", F.struct("source_id", "target_id", "label"))
+    return context.cards(top, context.relation_lists(placed, top)).select("rank", "id", "card")
+
+
+_CARDS_SQL = f"""WITH {_EDGES}, {_BONUS}, top AS (SELECT id, round(bonus, 6) AS score, n_name AS title, row_number() OVER (ORDER BY round(bonus, 6) DESC, id)::INT AS rank FROM bonus JOIN nation ON n_nationkey = id ORDER BY rank LIMIT 10),
+o AS (SELECT src, string_agg(format('({{}} -> {{}}: {{}})', src, dst, label), ', ' ORDER BY src, dst, label) AS t FROM rel GROUP BY src),
+i AS (SELECT dst, string_agg(format('({{}} -> {{}}: {{}})', src, dst, label), ', ' ORDER BY src, dst, label) AS t FROM rel GROUP BY dst)
+SELECT rank, id, format('## {{}}. [{{}}] {{}}', rank, id, title) || chr(10) || '**Score:** ' || printf('%.4f', score) || chr(10) || '**Description:** ' || lower(title) || chr(10) || '**Actors:** ' || title || chr(10)
+  || '**Locations:** -' || chr(10) || '**Associated Numbers:** ' || id || ' (key)' || chr(10) || '**Influence chain:** -' || chr(10) || '**Relations (outgoing):** ' || coalesce(o.t, '-') || chr(10)
+  || '**Relations (incoming):** ' || coalesce(i.t, '-') AS card FROM top LEFT JOIN o ON o.src = id LEFT JOIN i ON i.dst = id"""
+
+
+def relation_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 7 == 0, F.lit("```not json")).otherwise(F.concat(F.lit('{"relation": " '), F.upper("event_type"), F.lit(' ", "confidence": 0.5}')))
+    return _t(spark, sf_dir, "events").select("event_id", parsing.relation_label(F.lit(None).cast("string"), raw).alias("label"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    return newest.select("event_type", F.col("m.event_id").alias("event_id"), F.col("m.ts").alias("ts"))
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------
+
+
+def align_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations")
+    side = lambda turn: turns.where(F.col("turn") == turn).groupBy("conv_id").agg(F.min("text").alias("answer")).select(F.concat(F.lit(" conversation "), F.col("conv_id"), F.lit(" ")).alias("query"), "answer")
+    return evaluation.align(side(0), side(1))
+
+
+def winner_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda c: F.struct(F.when(F.col(c) == 1, " Answer 1").when(F.col(c) == 0, "Answer 2").otherwise("none").alias("Winner"), F.lit("").alias("Explanation"))
+    verdict = F.map_from_arrays(F.array(*[F.lit(k) for k in ("Comprehensiveness", "Diversity", "Overall Winner")]), F.array(one("quality"), one("toxic"), one("quality")))
+    return evaluation.tally(_t(spark, sf_dir, "labels").select(verdict.alias("evaluation")))
+
+
+_TALLY_SQL = """WITH w AS (SELECT 'Comprehensiveness' AS category, quality AS x FROM labels UNION ALL SELECT 'Diversity', toxic FROM labels UNION ALL SELECT 'Overall', quality FROM labels UNION ALL SELECT 'Empowerment', NULL FROM labels),
+c AS (SELECT category, count(*) FILTER (x = 1) AS first, count(*) FILTER (x = 0) AS second FROM w GROUP BY category)
+SELECT category, first, second, first + second AS total, CASE WHEN first + second > 0 THEN round_even(100.0 * first / (first + second), 2)::DOUBLE ELSE 0.0 END AS first_percent, CASE WHEN first + second > 0 THEN round_even(100.0 * second / (first + second), 2)::DOUBLE ELSE 0.0 END AS second_percent FROM c"""
+
+
+def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 3000 - 0.1).alias("p")), "doc_id")
+    return evaluation.overall_brier(rows, "p", "quality").select("n", _r(F.col("overall_brier")).alias("overall_brier"))
+
+
+def star_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.coalesce(F.substring("text", 1, 40), F.lit("")), F.when(F.col("doc_id") % 3 == 0, " *0,").when(F.col("doc_id") % 3 == 1, " *-1.").otherwise(" 0."), F.col("doc_id"), F.lit("* \n"))
+    return _t(spark, sf_dir, "documents").select("doc_id", _r(text.star_number(said)).alias("number"))
+
+
+def extract_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("User 1\n- **Question 1**: "), F.regexp_replace(F.left("text", F.lit(60)), "\n", " "), F.lit(" \n* Question 22 :  why \nQuestion 3: no\n"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.questions(said)).alias("n", "question"))
+
+
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = readers.joined(_t(spark, sf_dir, "conversations"), "text", ["turn"], ["conv_id"])
+    return made.select("conv_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("query"))
+    return evaluation.unanswered(asked, _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("query")))
+
+
+def vector_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select("vec_id", _r(dot(F.col("embedding"), F.col("embedding"))).alias("squared"))
+
+
 FLAGSHIP = "segments"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        segments, doc_dedup, chunk_text_unique, sentence_lines, sentence_windows, chunk_merge, sentence_spans, paragraph_spans, embed_clean, head_tail_summary,
+        tfidf_topk, keyword_interleave, rake_keywords, yake_keywords, consecutive_distance, breakpoints_p95, vector_segments, mean_pool_label, relevance_topk,
+        cluster_quota, zscore_relevance, sim_floor, mmr_select, mmr_first_picks, silhouette_exact, kmeans_sweep, candidate_pairs, top_pairs, edge_weights,
+        out_degree, outgoing_bonus, pagerank_10, pagerank_converged, rating_score, context_cards, relation_label_parse, latest_run, align_answers, winner_tally, brier,
+        star_number, extract_questions, corpus_build, unanswered, vector_dot,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "segments": _SEGMENTS_SQL,
+    "doc_dedup": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY ALL",
+    "chunk_text_unique": f"WITH {_LINES} SELECT doc_id, idx AS chunk_idx, sha256(sentence) AS sha256 FROM lines QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY doc_id, idx) = 1",
+    "sentence_lines": f"WITH {_LINES} SELECT doc_id, idx, sentence FROM lines",
+    "sentence_windows": _WINDOWS_SQL,
+    "head_tail_summary": _HEAD_TAIL_SQL,
+    "tfidf_topk": _TFIDF_SQL,
+    "keyword_interleave": _INTERLEAVE_SQL,
+    "consecutive_distance": f"WITH {_DIST} SELECT vec_id, label, round(g, 6) AS distance_to_next FROM g",
+    "breakpoints_p95": f"WITH {_BREAKS} SELECT vec_id, label, round(g, 6) AS distance_to_next, round(t, 6) AS threshold FROM b WHERE g > t",
+    "vector_segments": f"WITH {_BREAKS}, s AS (SELECT *, coalesce(sum(coalesce(g > t, FALSE)::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment FROM b) SELECT label, segment, min(vec_id) AS from_id, max(vec_id) AS to_id, count(*) AS n FROM s GROUP BY label, segment",
+    "mean_pool_label": _POOL_SQL,
+    "relevance_topk": f"WITH {_REL} SELECT chunk_id, cluster_id, round(s, 6) AS similarity FROM s ORDER BY s DESC, chunk_id LIMIT 30",
+    "cluster_quota": _QUOTA_SQL,
+    "zscore_relevance": f"WITH {_REL} SELECT chunk_id, round((s - avg(s) OVER ()) / (stddev_pop(s) OVER () + 1e-6), 6) AS z FROM s",
+    "sim_floor": f"WITH {_REL} SELECT cluster_id, round(quantile_cont(s, 0.7), 6) AS floor FROM s GROUP BY cluster_id",
+    "mmr_first_picks": _mmr_sql(),
+    "silhouette_exact": _SILHOUETTE_SQL,
+    "candidate_pairs": _PAIRS_SQL,
+    "top_pairs": _PAIRS_SQL + " ORDER BY s DESC, i, j LIMIT 20",
+    "edge_weights": f"WITH {_EDGES} SELECT src, dst, label, w_in, w_out FROM edges",
+    "out_degree": f"WITH {_EDGES} SELECT src, round(sum(w_in), 6) AS degree FROM edges GROUP BY src",
+    "outgoing_bonus": f"WITH {_EDGES}, {_BONUS} SELECT id, round(bonus, 6) AS bonus FROM bonus",
+    "pagerank_10": f"WITH {_EDGES}, {_ranks(ROUNDS)} SELECT id, round(pagerank, 6) AS pagerank FROM ranks",
+    "rating_score": f"WITH {_EDGES}, {_BONUS}, {_ranks(ROUNDS)} SELECT id, round(pagerank, 6) AS pagerank, round(bonus, 6) AS outgoing_bonus, round(0.7 * pagerank + 0.3 * bonus, 6) AS score FROM ranks JOIN bonus USING (id)",
+    "context_cards": _CARDS_SQL,
+    "relation_label_parse": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE lower(event_type) END AS label, (props ->> 'k')::BIGINT AS k FROM events",
+    "latest_run": "SELECT event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
+    "align_answers": "SELECT 'conversation ' || a.conv_id AS query, a.t AS answer_a, b.t AS answer_b FROM (SELECT conv_id, min(text) AS t FROM conversations WHERE turn = 0 GROUP BY 1) a JOIN (SELECT conv_id, min(text) AS t FROM conversations WHERE turn = 1 GROUP BY 1) b USING (conv_id)",
+    "winner_tally": _TALLY_SQL,
+    "brier": "SELECT count(*) AS n, round(avg(pow(least(1, greatest(0, n_chars / 3000 - 0.1)) - quality, 2)), 6) AS overall_brier FROM labels JOIN documents USING (doc_id)",
+    "star_number": "SELECT doc_id, round(CASE doc_id % 3 WHEN 0 THEN ('0.' || doc_id)::DOUBLE WHEN 1 THEN ('-1.' || doc_id)::DOUBLE END, 6) AS number FROM documents",
+    "extract_questions": "SELECT conv_id, turn, n, trim(q) AS question FROM (SELECT conv_id, turn, 0 AS n, replace(left(text, 60), chr(10), ' ') AS q FROM conversations UNION ALL SELECT conv_id, turn, 1, 'why' FROM conversations)",
+    "corpus_build": "SELECT conv_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS t FROM conversations GROUP BY conv_id)",
+    "unanswered": "SELECT doc_id AS query FROM documents ANTI JOIN labels USING (doc_id)",
+    "vector_dot": f"SELECT vec_id, round(list_dot_product({_V}, {_V}), 6) AS squared FROM embeddings",
+}
