@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.codes import ALPHABET, codepoints, tables, text_batches
 
-SAMPLE = 4000
+SAMPLE = 3000
 DECAY = 0.75
 #: Steps between the four letters, at most two letters skipped in all.
 PATTERNS = tuple((a, b, c) for a in (1, 2, 3) for b in (1, 2, 3) for c in (1, 2, 3) if a + b + c <= 5)
 SUBSEQUENCES = ALPHABET**4
-LANDMARKS = 400
-HARMLESS = 30_000
+LANDMARKS = 320
+HARMLESS = 20_000
 #: Times that the machine is trained again on its worst mistakes.
 ROUNDS = 4
 #: Different left neighbours that make a word evidence, and how much likelier toxic texts must have it.
@@ -205,7 +205,12 @@ class Landmarks:
         value, vector = np.linalg.eigh((k + k.T) / 2)
         kept = value > 1e-5 * value.max()
         root = (vector[:, kept] / np.sqrt(value[kept])).astype(np.float32)
-        x = np.vstack([self.kernel(bad), self.kernel(good)]) @ root
+        x = np.empty((len(bad) + len(good), root.shape[1] + 1), dtype=np.float32)
+        x[:, -1] = 1
+        for first, words in ((0, bad), (len(bad), good)):
+            for i in range(0, len(words), 2000):
+                part = self.kernel(words[i : i + 2000])
+                x[first + i : first + i + len(part), :-1] = part @ root
         y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
         weight = np.concatenate([0.5 * frequency.sum() * evidence / evidence.sum(), frequency])
         w = _svm(x, y, weight / weight.mean())
@@ -213,8 +218,7 @@ class Landmarks:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, cost: float = 2.0) -> np.ndarray:
-    """Squared-hinge linear machine by Newton steps with halving; the last value is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+    """Squared-hinge linear machine by Newton steps with halving; the last column of x is one, the last value the bias."""
     w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-3
 
@@ -278,15 +282,14 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     evidence = np.sqrt(np.array([len(context[w]) for w in bad], dtype=np.float64))
     quarter = LANDMARKS // 4
     landmarks, good = bad[:quarter] + common[:quarter], common[: HARMLESS // 2]
-    every, spread = _encode(common), np.sqrt(np.array([harmless[w] for w in common], dtype=np.float64))
-    model = FLAT
+    spread = np.sqrt(np.array([harmless[w] for w in common], dtype=np.float64))
     # each round trains again with the harmless words that the last machine found worst, as examples and as landmarks
     for extra in (2 * quarter // ROUNDS,) * ROUNDS + (0,):
         # a word in many texts weighs more, but not so much that rare words stop to count
         frequency = np.sqrt(np.array([harmless[w] for w in good], dtype=np.float64))
         model = Landmarks(landmarks).machine(bad, good, evidence, frequency)
         if extra:
-            margin = word_margins(every, model.weights)[: len(common)] + model.bias
+            margin = np.concatenate([word_margins(_encode(common[i : i + 20_000]), model.weights)[: len(common[i : i + 20_000])] for i in range(0, len(common), 20_000)]) + model.bias
             worst = np.argsort(-margin, kind="stable")
             good = list(dict.fromkeys(good + [common[i] for i in worst[: HARMLESS // 2 // ROUNDS]]))
             harm = np.maximum(0, margin + 0.5) * spread
