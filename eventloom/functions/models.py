@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[list[str]], np.ndarray]
 Client = Callable[[list[dict], dict], str]
@@ -61,11 +62,11 @@ def embed(text: Column, make: Callable[[], Embedder]) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for s in batches:
-            some = s.map(bool) & s.notna()
-            out = pd.Series([None] * len(s), index=s.index, dtype=object)
-            if some.any():
-                out[some] = list(model(s[some].tolist()))
-            yield out
+            at = [i for i, x in enumerate(s) if isinstance(x, str) and x]
+            out: list = [None] * len(s)
+            for i, v in zip(at, model([s.iloc[i] for i in at]) if at else [], strict=True):
+                out[i] = v
+            yield pd.Series(out, index=s.index, dtype=object)
 
     return run(text)
 
@@ -93,7 +94,7 @@ def retry(call: Callable[[], str], tries: int = 5, first: float = 0.5, most: flo
 
 def ask(prompts: DataFrame, prompt: str, answer: str, make: Callable[[], Client], parameters: dict | None = None, workers: int = 10, tries: int = 3, failed: str | None = None) -> DataFrame:
     """prompts with the model's answers, ``workers`` calls at a time in each task; a call that keeps failing gives ``failed``."""
-    schema = prompts.schema.add(answer, "string")
+    schema = T.StructType([*prompts.schema.fields, T.StructField(answer, T.StringType())])
     own = dict(parameters or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

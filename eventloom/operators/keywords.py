@@ -42,10 +42,10 @@ def keyword_text(entities: Column, keywords: Column, reverse: bool = True) -> Co
 
 def interleave(rows: DataFrame, key: str, order: str, keywords: str, limit: int = LIMIT) -> DataFrame:
     """key, keywords: round robin over a key's lists in order, the first of equals without regard to case, ``limit`` at most."""
-    flat = rows.select(key, order, F.posexplode(keywords).alias("k", "word"))
-    first = flat.groupBy(key, F.lower("word").alias("low")).agg(F.min(F.struct("k", order, "word")).alias("f"))
-    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("f.k", f"f.{order}", "low"))).where(F.col("n") <= limit)
-    return ranked.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col("f.word").alias("w")))), lambda x: x.w).alias("keywords"))
+    flat = rows.select(F.col(key).alias("__key"), F.col(order).alias("i"), F.posexplode(keywords).alias("k", "word"))
+    first = flat.groupBy("__key", F.lower("word").alias("low")).agg(F.min(F.struct("k", "i", "word")).alias("f"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("__key").orderBy("f.k", "f.i", "low"))).where(F.col("n") <= limit)
+    return ranked.groupBy(F.col("__key").alias(key)).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col("f.word").alias("w")))), lambda x: x.w).alias("keywords"))
 
 
 _WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")

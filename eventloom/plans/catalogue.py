@@ -169,7 +169,7 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def breakpoints_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.breakpoints(_distances(spark, sf_dir), "label").where("is_break")
-    return rows.select("vec_id", "label", _r(F.col("distance_to_next")).alias("distance_to_next"), _r(F.col("threshold")).alias("threshold"))
+    return rows.select("vec_id", "label", "distance_to_next", _r(F.col("threshold")).alias("threshold"))
 
 
 def vector_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +203,7 @@ def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = _relevance(spark, sf_dir).orderBy(F.col("similarity").desc(), "chunk_id").limit(30)
-    return best.select("chunk_id", "cluster_id", _r(F.col("similarity")).alias("similarity"))
+    return best.select("chunk_id", "cluster_id", "similarity")
 
 
 def cluster_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,16 +285,16 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("i", "j", _r(F.col("similarity")).alias("similarity"))
+    return _pairs(spark, sf_dir)
 
 
 def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.top_pairs(_pairs(spark, sf_dir)).select("i", "j", _r(F.col("similarity")).alias("similarity"))
+    return graph.top_pairs(_pairs(spark, sf_dir))
 
 
 _PAIRS_SQL = f"""WITH h AS (SELECT vec_id // 2 AS event, vec_id % 2 AS side, {_V} AS v FROM embeddings),
 p AS (SELECT a.event AS i, b.event AS j, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS s FROM h a JOIN h b ON a.side = 0 AND b.side = 1 AND a.event <> b.event)
-SELECT i, j, round(s, 6) AS similarity FROM p"""
+SELECT i, j, s AS similarity FROM p"""
 
 #: Relation labels of the nation graph, by order priority.
 LABELS = {"1-URGENT": "contradiction", "2-HIGH": "causal", "3-MEDIUM": "amplification", "4-NOT SPECIFIED": "mitigation", "5-LOW": "coreference"}
@@ -468,10 +468,10 @@ ORACLE_SQL: dict[str, str] = {
     "tfidf_topk": _TFIDF_SQL,
     "keyword_interleave": _INTERLEAVE_SQL,
     "consecutive_distance": f"WITH {_DIST} SELECT vec_id, label, round(g, 6) AS distance_to_next FROM g",
-    "breakpoints_p95": f"WITH {_BREAKS} SELECT vec_id, label, round(g, 6) AS distance_to_next, round(t, 6) AS threshold FROM b WHERE g > t",
+    "breakpoints_p95": f"WITH {_BREAKS} SELECT vec_id, label, g AS distance_to_next, round(t, 6) AS threshold FROM b WHERE g > t",
     "vector_segments": f"WITH {_BREAKS}, s AS (SELECT *, coalesce(sum(coalesce(g > t, FALSE)::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment FROM b) SELECT label, segment, min(vec_id) AS from_id, max(vec_id) AS to_id, count(*) AS n FROM s GROUP BY label, segment",
     "mean_pool_label": _POOL_SQL,
-    "relevance_topk": f"WITH {_REL} SELECT chunk_id, cluster_id, round(s, 6) AS similarity FROM s ORDER BY s DESC, chunk_id LIMIT 30",
+    "relevance_topk": f"WITH {_REL} SELECT chunk_id, cluster_id, s AS similarity FROM s ORDER BY s DESC, chunk_id LIMIT 30",
     "cluster_quota": _QUOTA_SQL,
     "zscore_relevance": f"WITH {_REL} SELECT chunk_id, round((s - avg(s) OVER ()) / (stddev_pop(s) OVER () + 1e-6), 6) AS z FROM s",
     "sim_floor": f"WITH {_REL} SELECT cluster_id, round(quantile_cont(s, 0.7), 6) AS floor FROM s GROUP BY cluster_id",

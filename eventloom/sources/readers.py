@@ -42,7 +42,7 @@ def _shaped(spark: SparkSession, raw: DataFrame) -> DataFrame:
             if n is not None:
                 return _list(spark, inner, n)
     sizes = raw.select(*[F.json_array_length(F.get_json_object("value", f"$['{k}']")).alias(f"c{i}") for i, k in enumerate(kinds.keys)]).first()
-    if kinds.keys and None not in sizes and len(set(sizes)) == 1:
+    if kinds.keys and None not in list(sizes) and len(set(sizes)) == 1:
         lists = [F.from_json(F.get_json_object("value", f"$['{k}']"), "array<string>").alias(k) for k in kinds.keys]
         return raw.select(F.inline(F.arrays_zip(*lists)))
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
@@ -60,7 +60,7 @@ def _list(spark: SparkSession, held: DataFrame, n: int | None) -> DataFrame:
 
 def _schema(spark: SparkSession, rows: DataFrame) -> T.StructType:
     """The schema of all objects, inferred by Spark's own reader from the column."""
-    texts = rows.select("value")._jdf.as_(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    texts = getattr(rows.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
     return T._parse_datatype_json_string(spark._jsparkSession.read().json(texts).schema().json())
 
 
@@ -130,7 +130,8 @@ def append_answers(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
 
 def judgment_json(items: DataFrame, tally: DataFrame, dataset: str, a: str, b: str) -> DataFrame:
     """One JSON text: dataset, methods, judged items and the final tally."""
-    listed = items.agg(F.sort_array(F.collect_list(F.struct("query", "evaluation"))).alias("items"))
+    by_query = lambda x, y: F.when(x.query < y.query, -1).when(x.query > y.query, 1).otherwise(0)
+    listed = items.agg(F.array_sort(F.collect_list(F.struct("query", "evaluation")), by_query).alias("items"))
     side = lambda n: F.struct(F.col(n).alias("count"), F.col(f"{n}_percent").alias("percent"))
     final = tally.agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct(side("first").alias("method_a"), side("second").alias("method_b"), "total")))).alias("final_eval"))
     return listed.crossJoin(final).select(F.to_json(F.struct(F.lit(dataset).alias("dataset"), F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), "items", "final_eval")).alias("value"))
