@@ -92,19 +92,28 @@ def retry(call: Callable[[], str], tries: int = 5, first: float = 0.5, most: flo
     raise ValueError("tries must be positive")
 
 
-def ask(prompts: DataFrame, prompt: str, answer: str, make: Callable[[], Client], parameters: dict | None = None, workers: int = 10, tries: int = 3, failed: str | None = None) -> DataFrame:
-    """prompts with the model's answers, ``workers`` calls at a time in each task; a call that keeps failing gives ``failed``."""
+def ask(prompts: DataFrame, prompt: str, answer: str, make: Callable[[], Client], parameters: dict | None = None, workers: int = 10, tries: int = 3, failed: str | None = None, accept: Callable[[str], bool] | None = None) -> DataFrame:
+    """prompts with the model's answers, ``workers`` calls at a time in each task.
+
+    An answer that ``accept`` turns down counts as a failure; a call that keeps failing gives ``failed``.
+    """
     schema = T.StructType([*prompts.schema.fields, T.StructField(answer, T.StringType())])
     own = dict(parameters or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
 
+        def call(text: str) -> str:
+            if not text:
+                raise ValueError("empty prompt")
+            answered = client([{"role": "user", "content": text}], own)
+            if accept and not accept(answered):
+                raise ValueError("an answer that cannot be read")
+            return answered
+
         def one(text: str) -> str | None:
             try:
-                if not text:
-                    raise ValueError("empty prompt")
-                return retry(lambda: client([{"role": "user", "content": text}], own), tries)
+                return retry(lambda: call(text), tries)
             except Exception:
                 return failed
 

@@ -54,6 +54,15 @@ def split_answer(text: str | None) -> tuple[str | None, str | None]:
     return None, first_array(text)
 
 
+def is_readable(text: str | None) -> bool:
+    """Whether an extraction answer has events, or says that there are none."""
+    try:
+        value = json.loads(split_answer(text)[1] or "")
+    except ValueError:
+        return False
+    return isinstance(value, list) or (isinstance(value, dict) and isinstance(value.get("events"), list))
+
+
 def answer_parts(text: Column) -> Column:
     """struct(thoughts, json) of an extraction answer, in Arrow batches."""
 

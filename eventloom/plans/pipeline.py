@@ -16,8 +16,10 @@ from eventloom.sources.catalog import Catalog
 from eventloom.sources.readers import prompt
 
 #: Answers where there is nothing to answer from, or the model fails.
-NO_EVENTS = "No events available to generate an answer."
+NO_CONTEXT = "No events available."
+NO_EVENTS = "No answer generated because no events were available."
 FAILED = "Answer generation failed due to LLM invocation error."
+FORECAST_FAILED = "Scratchpad generation failed due to LLM invocation error."
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,7 @@ class EventLoom:
     def extract_events(self, chosen: DataFrame, query: str) -> DataFrame:
         """Events of the chosen chunks, numbered from 1 by pick and place in the answer."""
         asked = chosen.withColumn("prompt", fill(prompt("events"), query=F.lit(query), text=F.col("text")))
-        told = models.ask(asked, "prompt", "answer", self.client, {"max_new_tokens": 3000}, self.settings.workers)
+        told = models.ask(asked, "prompt", "answer", self.client, {"max_new_tokens": 3000}, self.settings.workers, accept=parsing.is_readable)
         parts = told.withColumn("a", parsing.answer_parts(F.col("answer")))
         found = parts.select("pick", "chunk_id", "cluster_id", "from_idx", "to_idx", F.col("a.thoughts").alias("thoughts"), F.posexplode(parsing.events_of(F.col("a.json"))).alias("at", "e"))
         number = F.row_number().over(Window.orderBy("pick", "at"))  # tens of events
@@ -108,7 +110,7 @@ class EventLoom:
 
     def retrieve(self, query: str) -> str:
         """The model's answer from the ranked events; the run, its relations and ratings are stored."""
-        self.context = ""
+        self.context = NO_CONTEXT
         if self.catalog.table("chunks").where("embedding is not null").limit(1).count() == 0:
             return NO_EVENTS
         events = durable(self.extract_events(durable(self.select_chunks(query)), query))
@@ -129,4 +131,4 @@ class EventLoom:
     def predict(self, query: str, background: str = "") -> str:
         """The model's forecast; the background is empty unless it is given, say as ``context`` of a retrieval."""
         asked = self.spark.range(1).select(fill(prompt("forecast"), query=F.lit(query), background=F.lit(background)).alias("prompt"))
-        return models.ask(asked, "prompt", "answer", self.client, {"max_new_tokens": 2000}, 1, tries=1, failed=FAILED).first()["answer"]
+        return models.ask(asked, "prompt", "answer", self.client, {"max_new_tokens": 2000}, 1, tries=1, failed=FORECAST_FAILED).first()["answer"]

@@ -137,6 +137,7 @@ def test_answers_of_models():
     assert parsing.split_answer('{"events": [{"a": 1}]}') == (None, '[{"a": 1}]')
     assert parsing.split_answer("see [x] then [[1], 2] ok") == (None, "[[1], 2]")
     assert parsing.split_answer("nothing [") == (None, None)
+    assert [parsing.is_readable(x) for x in ("None", "[]", "**THOUGHTS** **JSON** ```[1]```", "x", None)] == [True, True, False, False, False]
 
 
 def test_events_and_verdicts(spark):
