@@ -19,10 +19,12 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Words kept for look-up in a worker, and the longest of them.
-CACHE, LONGEST = 350_000, 64
-#: Beginnings of words up to so many characters are kept, too.
-BEGINNING = 16
+CACHE, LONGEST = 220_000, 64
+#: Pairs of pieces, and beginnings of words up to so many characters, that are kept, too.
+PAIRS, BEGINNINGS, BEGINNING = 300_000, 200_000, 16
 
 
 @dataclass
@@ -45,6 +47,10 @@ class Vocabulary:
     unknown: int
     special: set[int] = field(default_factory=set)
 
+    @cached_property
+    def digest(self) -> str:
+        return hashlib.sha256(repr((self.pieces, self.scores, self.byte_ids)).encode()).hexdigest()
+
 
 def load(path: str = MODEL) -> Vocabulary:
     import sentencepiece
@@ -73,7 +79,11 @@ class PieceCoder:
         self.pair: dict[tuple[str, str], bool] = {}
         self.beginnings: dict[str, str] = {}
         # pieces that merging their own characters gives, and single characters that only longer pieces hold
-        self.standing = {p for p in self.ids if self.merged(p) == [p]} | self.letters
+        standing = {*(p for p in self.ids if self.merged(p) == [p]), *self.letters}
+        # every end of such a piece, with the piece if it is one itself
+        self.tails = {p[i:]: "" for p in standing for i in range(len(p))}
+        self.tails.update({p: p for p in standing})
+        self.bytes_of = _Bytes(self)
         self.after_blank, self.plain = _Words(self, BLANK), _Words(self, "")
         self.text_of = [BLANK if i in v.special else p for i, p in enumerate(v.pieces)]
         self.high = set()
@@ -101,7 +111,7 @@ class PieceCoder:
     def compatible(self, a: str, b: str) -> bool:
         known = self.pair.get((a, b))
         if known is None:
-            if len(self.pair) > CACHE:
+            if len(self.pair) > PAIRS:
                 self.pair.clear()
             known = self.pair[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -110,34 +120,41 @@ class PieceCoder:
         """The pieces of a text of any length, committed as soon as all surviving paths agree on them."""
         base = 0  # the first bound in the window; everything before is committed
         last: list[str] = [""]  # the surviving last piece at each bound of the window
-        standing, letters, longest, pair, compatible = self.standing, self.letters, self.longest, self.pair, self.compatible
+        tails, letters, longest, pair, compatible = self.tails, self.letters, self.longest, self.pair, self.compatible
         # the surviving piece at a bound depends on nothing after it, so beginnings that came before are looked up
         known_last = self.beginnings
-        if len(known_last) > CACHE:
+        if len(known_last) > BEGINNINGS:
             known_last.clear()
         for i in range(1, len(text) + 1):
             if i <= BEGINNING:
-                chosen = known_last.get(text[:i])
+                head = text[:i]
+                chosen = known_last.get(head)
                 if chosen is not None:
                     last.append(chosen)
                     continue
             chosen = c = text[i - 1]
             if c in letters:
-                for start in range(max(base, i - longest), i):
-                    piece = text[start:i]
-                    if piece in standing:
-                        before = last[start - base]
-                        if not before or before[-1] not in letters:
-                            chosen = piece
-                            break
-                        known = pair.get((before, piece))
-                        if compatible(before, piece) if known is None else known:
-                            chosen = piece
-                            break
+                # pieces that end here, found from the shortest to the longest, tried from the longest
+                ends = []
+                for start in range(i - 1, base - 1, -1):
+                    piece = tails.get(text[start:i])
+                    if piece is None:
+                        break
+                    if piece:
+                        ends.append(piece)
+                for piece in reversed(ends):
+                    before = last[i - len(piece) - base]
+                    if not before or before[-1] not in letters:
+                        chosen = piece
+                        break
+                    known = pair.get((before, piece))
+                    if compatible(before, piece) if known is None else known:
+                        chosen = piece
+                        break
             last.append(chosen)
             if i <= BEGINNING:
-                known_last[text[:i]] = chosen
-            if len(last) > 2 * longest:
+                known_last[head] = chosen
+            elif len(last) > 2 * longest:
                 # bounds that a later piece can begin at, each followed back until they meet
                 alive = set(range(len(last) - longest, len(last)))
                 while len(alive) > 1:
@@ -147,8 +164,8 @@ class PieceCoder:
                 meet = alive.pop()
                 if meet > 0:
                     yield from self._back(last, meet)
-                    base, last = base + meet, last[meet:]
                     # the piece that ends at the meeting bound still decides what may follow it
+                    base, last = base + meet, last[meet:]
         yield from self._back(last, len(last) - 1)
 
     @staticmethod
@@ -213,15 +230,33 @@ class PieceCoder:
         return text[1:] if text[:1] == " " else text
 
 
+class _Bytes(dict):
+    """Ids of pieces as bytes; byte pieces for characters outside the vocabulary."""
+
+    def __init__(self, coder: PieceCoder) -> None:
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> bytes:
+        own = array("i", self.coder.piece_ids(piece)).tobytes()
+        if len(self) < CACHE:
+            self[piece] = own
+        return own
+
+
 class _Words(dict):
-    """Ids of words that came before, as bytes; forgets all when full."""
+    """Ids of words that came before, as bytes; when full, keeps one older generation to take words back from."""
 
     def __init__(self, coder: PieceCoder, head: str) -> None:
         super().__init__()
         self.coder, self.head = coder, head
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         coder = self.coder
+        known = self.older.get(word)
+        if known is not None:
+            return self.keep(word, known)
         if not word.isalpha():
             core = word.rstrip(".,;:!?")
             if core and len(core) < len(word) and word[len(core) - 1 : len(core) + 1] not in coder.neighbours:
@@ -230,27 +265,31 @@ class _Words(dict):
             if cuts:
                 found = self[word[: cuts[0]]] + b"".join([coder.plain[word[i:j]] for i, j in zip(cuts, [*cuts[1:], len(word)], strict=True)])
                 return self.keep(word, found)
-        return self.keep(word, array("i", [i for piece in coder.stream(self.head + word) for i in coder.piece_ids(piece)]).tobytes())
+        return self.keep(word, b"".join(map(coder.bytes_of.__getitem__, coder.stream(self.head + word))))
 
     def keep(self, word: str, found: bytes) -> bytes:
         if len(word) <= LONGEST:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
 
 
-_coder: list[tuple[int, PieceCoder]] = []
+#: The coder of this worker, kept from task to task; a second one would hold its memory until a full collection.
+_coder: list[tuple[str, PieceCoder]] = []
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_ids, ids, round_trip (whether decoding gives the text back) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    vocabulary = load(model)
+    vocabulary.digest  # worked out once, here
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        if not _coder or _coder[0][0] != id(v):
-            _coder[:] = [(id(v), PieceCoder(v))]
+        if not _coder or _coder[0][0] != v.digest:
+            _coder[:] = [(v.digest, PieceCoder(v))]
         coder = _coder[0][1]
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
