@@ -262,20 +262,19 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     if len({x for _, x in rows}) < 2:
         return FLAT
     number = {0: 0, 1: 0}
-    # left neighbours in toxic texts, number of texts of either label
-    context, toxic, harmless = defaultdict(set), defaultdict(int), defaultdict(int)
+    toxic, harmless = defaultdict(int), defaultdict(int)
     for words, (_, label) in zip(_word_strings(t for t, _ in rows), rows, strict=True):
         number[label] += 1
-        if label:
-            for left, w in zip(["", *words], words, strict=False):
+        for w in set(words):
+            (toxic if label else harmless)[w] += 1
+    strong = {w for w, n in toxic.items() if len(w) >= 3 and n / number[1] >= RATIO * (harmless.get(w, 0) + 0.5) / number[0]}
+    del toxic
+    context = defaultdict(set)  # left neighbours, of the words that matter only
+    for words in _word_strings(t for t, label in rows if label):
+        for left, w in zip(["", *words], words, strict=False):
+            if w in strong:
                 context[w].add(left)
-            for w in set(words):
-                toxic[w] += 1
-        else:
-            for w in set(words):
-                harmless[w] += 1
-    strength = {w: n / number[1] / ((harmless.get(w, 0) + 0.5) / number[0]) for w, n in toxic.items() if len(w) >= 3}
-    bad = sorted((w for w, s in strength.items() if len(context[w]) >= EVIDENCE and s >= RATIO), key=lambda w: (-len(context[w]), w))
+    bad = sorted((w for w in context if len(context[w]) >= EVIDENCE), key=lambda w: (-len(context[w]), w))
     if not bad:
         return FLAT
     common = sorted(harmless, key=lambda w: (-harmless[w], w))
