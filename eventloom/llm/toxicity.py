@@ -256,8 +256,9 @@ def _word_strings(texts: Iterator[str]) -> Iterator[list[str]]:
         yield words
 
 
-def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """The machine of (text, toxic) rows."""
+def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> ToxicityModel:
+    """The machine of (text, toxic) rows; totals are the labels' numbers in what the rows were sampled from."""
+    totals = totals or {x: sum(label == x for _, label in rows) for x in (0, 1)}
     rows, rest = [x for i, x in enumerate(rows) if i % 4], rows[::4]
     if len({x for _, x in rows}) < 2:
         return FLAT
@@ -295,18 +296,21 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
             landmarks = list(dict.fromkeys(landmarks + [common[i] for i in np.argsort(-harm, kind="stable")[:extra]]))
     rest = rest if {x for _, x in rest} == {0, 1} else rows
     margin = np.concatenate([text_margins(model, [t for t, _ in rest[i : i + 200]]) for i in range(0, len(rest), 200)])
-    slope, offset = _sigmoid(margin, np.array([x for _, x in rest]))
+    slope, offset = _sigmoid(margin, np.array([x for _, x in rest]), totals)
     return replace(model, slope=slope, offset=offset)
 
 
-def _sigmoid(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Regularised logistic fit of the label on the margin."""
+def _sigmoid(margin: np.ndarray, label: np.ndarray, totals: dict[int, int]) -> tuple[float, float]:
+    """Regularised logistic fit of the label on the margin; labels weigh by their totals, not by their share of the sample."""
     target = np.where(label == 1, 0.99, 0.01)
+    each = {x: totals[x] / max(1, (label == x).sum()) for x in (0, 1)}
+    weight = np.where(label == 1, each[1], each[0])
+    weight = weight / weight.mean()
     x, w = np.stack([margin, np.ones(len(margin))], 1), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + 1e-2 * w
-        w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), gradient)
+        gradient = x.T @ (weight * (p - target)) + 1e-2 * w
+        w = w - np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-2 * np.eye(2), gradient)
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
@@ -325,11 +329,12 @@ def text_margins(model: ToxicityModel, texts: list[str]) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """The machine of at most ``sample`` labelled rows of either label, the least by hash of their id."""
     held = []
+    counts = {r[0]: r[1] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     for value in (0, 1):
         ids = labels.where(F.col(label) == value).select(F.col(doc_id).alias("l_id")).distinct().orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
         rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), F.col(doc_id) == F.col("l_id"), "left_semi")
         held += [(r[0], value) for r in rows.select(text).limit(2 * sample).collect()]
-    return fit(held)
+    return fit(held, {x: counts.get(x, 0) for x in (0, 1)})
 
 
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
