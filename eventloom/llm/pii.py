@@ -1,10 +1,9 @@
 """Personal data with offset-preserving deobfuscation.
 
-Plain identifiers are found in the text as it stands. A text that shows signs of disguise also goes through a
-transducer, which rewrites homoglyphs and invisible characters, spelled-out digits and at/dot disguises and keeps, for
-every piece it writes, the source characters that it stands for. The same detectors run over the rewritten text; a find
-that holds a rewritten piece is mapped back to its source characters and added unless it overlaps a plain find of its
-kind.
+Plain identifiers are found in the text as it stands. Every text also goes through a transducer, which rewrites
+homoglyphs and invisible characters, spelled-out digits and at/dot disguises and keeps, for every piece it writes, the
+source characters that it stands for. The same detectors run over a text that was rewritten; a find that holds a
+rewritten piece is mapped back to its source characters and added unless it overlaps a plain find of its kind.
 
 Offsets are code points, ends exclusive. Texts are scanned whole, each in time linear in its length; the operator is a
 narrow stage. Defined results: null and empty texts have no spans; repeated rows are scanned alike; extra columns are
@@ -55,29 +54,37 @@ HOMOGLYPHS = dict(
     )
 )
 _INVISIBLE = "­​‌‍⁠﻿"
+# letters that a pattern without case takes for i and s, though lower() keeps them
+_FOLDED = str.maketrans("İıſ", "iis")
 _DIGIT_OF = {w: d for d, words in DIGIT_WORDS.items() for w in words.split()}
-_NUMBER = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
+# by first letter, then the longest first
+_NUMBER = "|".join(a + "(?:" + "|".join(w[1:] for w in sorted(_DIGIT_OF, key=len, reverse=True) if w[0] == a) + ")" for a in sorted({w[0] for w in _DIGIT_OF}))
+_FIRST = "[" + "".join(sorted({w[0] for w in _DIGIT_OF})) + "]"
 _AT, _DOT, _PLUS = (s.replace(" ", "|") for s in (AT_WORDS, DOT_WORDS, PLUS_WORDS))
 _GAP = r"[\x20\t]*[,;/-]?[\x20\t]*"
 _STRANGE = re.compile("[" + _INVISIBLE + "Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९․⁰-⁹₀-₉。﹒﹫！-～\U0001d400-\U0001d7ff]")
-_SPELLED = re.compile(rf"(?i)\b(?:{_NUMBER})[\x20\t,;/.-]+(?:{_NUMBER})[\x20\t,;/.-]+(?:{_NUMBER})\b")
-_SIGNS = re.compile(rf"(?i)[(\[{{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[)\]}}>]|[_\x20-](?:{_DOT})[_\x20-]")
-_BLURRED = re.compile(r"[0-9][\x20-]?[OoIl|][\x20-]?[0-9OoIl|]")
 _BRACKETED = r"[\x20\t]*[(\[{{<][\x20\t]*(?:{0})[\x20\t]*[)\]}}>][\x20\t]*"
-#: The transducer's rules, tried in this order at each place.
+#: The transducer's rules, tried in this order at each place; the lookaheads only spare tries that must fail.
 _RULES = re.compile(
-    "(?i)"
+    "(?i)(?:"
+    + rf"(?=[\x20\t(\[{{<_@-])(?=[\x20\t]*[(\[{{<@]|[\x20\t_-]+(?:{_AT}|{_DOT}))(?:"
     + "|".join(
         [
             rf"(?P<at>{_BRACKETED.format(_AT + '|@')}|(?<=[a-z0-9])[_-](?:{_AT})[_-](?=[a-z0-9])|(?<=[a-z0-9])[\x20\t]+@[\x20\t]*(?=[a-z0-9])|(?<=[a-z0-9])@[\x20\t]+(?=[a-z0-9-]+[\x20\t]*[\[(.]))",
             rf"(?P<dot>{_BRACKETED.format(_DOT + '|[.]')}|(?<=[\w)\]}}])[_\x20-](?:{_DOT})[_\x20-](?=\w))",
             rf"(?P<wordat>(?<=[\w)\]])[\x20\t]+(?:{_AT})[\x20\t]+(?=[\w.-]+[\x20\t]*[\x20_\[({{<-](?:{_DOT})\b))",
+        ]
+    )
+    + ")|"
+    + "|".join(
+        [
             rf"(?P<plus>\b(?:{_PLUS})[\x20\t]+(?=(?:[0-9]|{_NUMBER})))",
-            rf"(?P<number>\b(?:{_NUMBER})(?:{_GAP}(?:{_NUMBER}))*\b)",
+            rf"(?P<number>\b(?={_FIRST})(?:{_NUMBER})(?:{_GAP}(?:{_NUMBER}))*\b)",
             rf"(?P<glyph>{_STRANGE.pattern})",
             r"(?P<blur>(?<=[0-9])[OoIl|]+(?=[\x20-]?[0-9])|(?<=[0-9][\x20-])[OoIl|]+(?=[\x20-]?[0-9]))",
         ]
     )
+    + ")"
 )
 
 
@@ -117,11 +124,6 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def is_disguised(text: str) -> bool:
-    """Whether the transducer could write anything new that matters."""
-    return bool((not text.isascii() and _STRANGE.search(text)) or _SIGNS.search(text) or _SPELLED.search(text) or _BLURRED.search(text))
-
-
 def _glyph(c: str) -> str:
     if c in _INVISIBLE:
         return ""
@@ -137,7 +139,7 @@ def _write(m: re.Match) -> str:
     if kind == "plus":
         return "+"
     if kind == "number":
-        return "".join(_DIGIT_OF[w.lower()] for w in re.findall(r"(?i)" + _NUMBER, text))
+        return "".join(_DIGIT_OF[w.translate(_FOLDED).lower()] for w in re.findall(r"(?i)" + _NUMBER, text))
     if kind == "blur":
         return "".join("0" if c in "Oo" else "1" for c in text)
     out = _glyph(text)
@@ -175,21 +177,20 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     text = text or ""
     plain = plain_spans(text)
     out = [(*x, True) for x in plain]
-    if is_disguised(text):
-        rewritten, pieces = transduce(text)
-        if rewritten != text:
-            # a rewritten text can hide another disguise under homoglyphs: spelled words, signs
-            again, more = transduce(rewritten) if any(not c.isascii() for c in text) else (rewritten, [])
-            starts, starts_again = [p[0] for p in pieces], [p[0] for p in more]
-            for kind, a, b in plain_spans(again):
-                a, b = (_source(x, more, starts_again, end) for x, end in ((a, False), (b, True)))
-                a, b = (_source(x, pieces, starts, end) for x, end in ((a, False), (b, True)))
-                while a < b and text[a].isspace():
-                    a += 1
-                while b > a and text[b - 1].isspace():
-                    b -= 1
-                if not any(k == kind and s < b and a < e for k, s, e, _ in out):
-                    out.append((kind, a, b, False))
+    rewritten, pieces = transduce(text)
+    if rewritten != text:
+        # a rewritten text can hide another disguise under homoglyphs: spelled words, signs
+        again, more = transduce(rewritten) if any(not c.isascii() for c in text) else (rewritten, [])
+        starts, starts_again = [p[0] for p in pieces], [p[0] for p in more]
+        for kind, a, b in plain_spans(again):
+            a, b = (_source(x, more, starts_again, end) for x, end in ((a, False), (b, True)))
+            a, b = (_source(x, pieces, starts, end) for x, end in ((a, False), (b, True)))
+            while a < b and text[a].isspace():
+                a += 1
+            while b > a and text[b - 1].isspace():
+                b -= 1
+            if not any(k == kind and s < b and a < e for k, s, e, _ in out):
+                out.append((kind, a, b, False))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 

@@ -135,6 +135,22 @@ def test_disguised_spans_map_back(text, kind, found):
     assert (k, text[a:b], plain) == (kind, found, False)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write john.doe @ example.com now", "email", "john.doe @ example.com"),
+        ("john_at_example.com", "email", "john_at_example.com"),
+        ("ring plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+        ("ring +49 30 one 234567 now", "phone", "+49 30 one 234567"),
+        ("ring +49 30 one two 34567 now", "phone", "+49 30 one two 34567"),
+        ("from 192.168.one.1 now", "ip", "192.168.one.1"),
+        ("from 192.168.ſıx.1 now", "ip", "192.168.ſıx.1"),
+    ],
+)
+def test_a_lone_disguise_of_any_rule_is_found(text, kind, found):
+    assert [(k, text[a:b], plain) for k, a, b, plain in pii.find_spans(text)] == [(kind, found, False)]
+
+
 @pytest.mark.parametrize("text", ["he is at home. The dot is big", "one two three four five", "look at example.com please", "", None, "x" * 100_000, "1" * 50_000, "@" * 5000, "a." * 20_000])
 def test_clean_and_long_texts_have_no_spans(text):
     assert pii.find_spans(text) == []
