@@ -28,21 +28,28 @@ from eventloom.llm.sqltext import let
 OPEN, CLOSE = "\x01", "\x02"
 #: Words before a value that is assigned.
 KEY_WORDS = "passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_ -]?keys?|access[_ -]?keys?|private[_ -]?keys?|client[_ -]?secret|auth(?:orization)?|credentials?|bearer"
-#: Shapes of well-known credentials.
-SHAPES = {
-    "aws_key": "(?:AKIA|ASIA)[0-9A-Z]{16}",
-    "git_token": "gh[pousr]_[A-Za-z0-9]{36,}",
-    "chat_token": "xox[abprs]-[A-Za-z0-9-]{10,}",
-    "pay_key": "[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
-    "map_key": "AIza[0-9A-Za-z_-]{35}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+_PEM = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: Shapes of well-known credentials, each as its first signs and the rest. A private key goes on through its
+#: END line; if there is none before the next key or the end of the text, through the header and key lines that follow.
+_SHAPES = {
+    "aws_key": ("(?:AKIA|ASIA)", "[0-9A-Z]{16}"),
+    "git_token": ("gh[pousr]_", "[A-Za-z0-9]{36,}"),
+    "chat_token": ("xox[abprs]-", "[A-Za-z0-9-]{10,}"),
+    "pay_key": ("[sr]k_(?:live|test)_", "[A-Za-z0-9]{16,}"),
+    "map_key": ("AIza", "[0-9A-Za-z_-]{35}"),
+    "jwt": ("eyJ", r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "private_key": (
+        "-----BEGIN ",
+        rf"{_PEM}(?:(?>[\s\S]*?(?=-----BEGIN |-----END ))-----END {_PEM}"
+        r"|(?:\s{1,4}[A-Za-z-]{1,40}:[^\n]*)*+(?:(?:\s|\\[nr]){0,4}[A-Za-z0-9+/=]{32,})*+(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/=]+(?=\s*\z))?)",
+    ),
 }
+SHAPES = {name: first + rest for name, (first, rest) in _SHAPES.items()}
 _TOKEN = "A-Za-z0-9+/_-"
 _ASSIGNED = rf"(?:{KEY_WORDS})[\"']?[\x20\t]{{0,3}}(?:=>|:=|=|:)[\x20\t]{{0,3}}[\"']?"
-CANDIDATE = rf"(?i:({_ASSIGNED}))([^\s\"'\x01\x02]{{6,512}})|({'|'.join(SHAPES.values())})|(?<![{_TOKEN}])((?=[{_TOKEN}]{{0,64}}[0-9])(?=[{_TOKEN}]{{0,64}}[A-Za-z])[{_TOKEN}]{{20,512}}={{0,2}})"
-#: A text with none of these signs has no candidate.
-NEEDED = "[0-9=:]|-----BEGIN"
+CANDIDATE = rf"(?i:({_ASSIGNED}))({SHAPES['private_key']}|[^\s\"'\x01\x02]{{6,}})|({'|'.join(SHAPES.values())})|(?<![{_TOKEN}])((?=[{_TOKEN}]*[0-9])(?=[{_TOKEN}]*[A-Za-z])[{_TOKEN}]{{20,}}={{0,2}})"
+#: A text with none of these signs has no candidate: assigned values hold = or :, other tokens a digit.
+NEEDED = "[0-9=:]|" + "|".join(first for first, _ in _SHAPES.values())
 
 #: Words that cover values which are no secrets, and words whose nearness speaks for or against one.
 DICTIONARY = "example|sample|test|dummy|fake|placeholder|change|your|here|password|passwd|secret|token|admin|user|default|value|none|null|true|false|foo|bar|todo|fixme|xxxx+|(?:\\*){3,}|1234+|abcd+|the|and|name|host|local|config|env|http|https|www|com|org|image|static|assets|version|release|article|page|section|chapter|document|report"
@@ -95,6 +102,12 @@ def labelled_findings(spark: SparkSession, rows: int = 9_000) -> DataFrame:
     keyed = F.concat(prose(11), F.lit(" "), pick(12, "password", "token", "api_key", "secret", "Password", "access_key", "client_secret", "auth"), pick(13, "=", ": ", ' = "', '="', " = "))
     plain = prose(14)
     said = F.concat(prose(15), F.lit(" "), pick(16, "commit", "sha256", "checksum", "digest", "uuid", "md5", "integrity", "build", "etag", "revision"), pick(17, " ", ": ", "=", "-"))
+    part = lambda seed, i: F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat_ws("-", "id", F.lit(str(seed)), i.cast("string")), 512))), "[=\\s]", "")
+    long = lambda seed: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: part(seed, i)), "")
+    lines = lambda c: F.regexp_replace(c, "(.{64})", "$1\n")
+    slugs = F.concat_ws("-", *[word(80 + i) for i in range(12)], (r(79) % 3000).cast("string"))
+    kind = pick(74, "", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED ")
+    pem = F.concat(F.lit("-----BEGIN "), kind, F.lit("PRIVATE KEY-----\n"), lines(cut(long(72), 150, 600, 73)), F.lit("\n-----END "), kind, F.lit("PRIVATE KEY-----"))
     good_path = pick(18, "config/prod.env", "deploy/app.yml", "src0", "src7", "web/crawl", "server/settings.py", "src12", "src19")
     any_path = pick(19, "tests/fixtures/a.json", "docs/readme.md", "src0", "src3", "examples/app.py", "web/crawl", "src15", "config/prod.env")
     upper = F.upper(F.substring(F.regexp_replace(base64(21), "[+/0189]", "Q"), 1, 16))
@@ -106,6 +119,9 @@ def labelled_findings(spark: SparkSession, rows: int = 9_000) -> DataFrame:
         (F.concat(pick(28, "sk_live_", "xoxb-", "rk_live_"), F.substring(F.regexp_replace(base64(29), "[+/]", "k"), 1, 24)), plain, good_path),
         (F.concat(word(30), pick(31, "!", "#", "_", "-"), (r(32) % 9000 + 100).cast("string"), F.upper(F.substring(word(33), 1, 3))), keyed, good_path),
         (cut(F.regexp_replace(base64(34), "[+/]", "Z"), 32, 30, 35), F.concat(prose(36), F.lit(" "), pick(37, "key", "bearer", "secret", "token"), F.lit(" ")), good_path),
+        (pem, F.when(r(75) % 2 == 0, plain).otherwise(keyed), good_path),
+        (cut(long(76), 100, 700, 77), keyed, good_path),
+        (F.concat(F.lit("eyJ"), cut(long(92), 20, 40, 93), F.lit("."), cut(long(94), 60, 500, 95), F.lit("."), cut(long(96), 43, 50, 97)), F.when(r(98) % 2 == 0, plain).otherwise(keyed), good_path),
     ]
     negatives = [
         (F.substring(hexes(41), 1, 40), said, any_path),
@@ -116,6 +132,7 @@ def labelled_findings(spark: SparkSession, rows: int = 9_000) -> DataFrame:
         (F.concat(word(53), F.lit("/"), word(54), F.lit("/"), word(55), F.lit("-"), (r(56) % 3000).cast("string")), plain, any_path),
         (F.concat(word(57), pick(58, ",", ".", "")), F.concat(prose(59), F.lit(" "), pick(60, "password", "token", "secret", "auth"), F.lit(": ")), any_path),
         (F.concat(F.lit("20"), (r(61) % 25 + 10).cast("string"), F.lit("-"), word(62), F.lit("-"), word(63), F.lit("-"), word(64)), plain, any_path),
+        (slugs, plain, any_path),
     ]
     after = prose(71).alias("after")
     cases = [(c, 1.0) for c in positives] + [(c, 0.0) for c in negatives]
