@@ -35,6 +35,9 @@ BLOCKS = frozenset(
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select object video audio canvas button head".split())
+#: Of these, the ones that hold no markup at all: they do not nest, and an unclosed one takes the rest of the page.
+SWALLOWS = frozenset("script style textarea title xmp iframe noframes".split())
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 SPLITS = frozenset(("br", "img", "input", "wbr"))
@@ -52,6 +55,8 @@ SIBLINGS = {
 }
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-label|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A slash that ends a value without quotes belongs to the value.
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"'>][^\s\"'>]*/\Z")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -84,11 +89,28 @@ def _names(attributes: str) -> tuple[str, ...]:
 _names_of: dict[str, tuple[str, ...]] = {"": ()}
 
 
+def _closes_itself(tag: str, attributes: str) -> bool:
+    return tag in FOREIGN and attributes.endswith("/") and not _OPEN_VALUE.search(attributes)
+
+
+def _raw_ends(html: str, tag: str, at: int) -> dict[int, int]:
+    """For the place after each opening tag of this name from ``at`` on, the place after its end tag; unclosed ones are left out."""
+    ends, waiting = {}, []
+    for x in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.I).finditer(html, at):
+        if not x[1]:
+            if not _closes_itself(tag, x[2]):
+                waiting.append(x.end())
+        elif waiting:
+            ends[waiting.pop()] = x.end()
+    return ends
+
+
 def parse(html: str) -> list[Node]:
     """Block nodes in page order; the first is the root and parents come before children."""
     nodes = [Node("html", (), -1)]
     stack: list[tuple[str, int]] = []  # open elements, each with the block node it belongs to
     run: list[str] = []
+    raw_ends: dict[str, dict[int, int]] = {}
     place, links, at, end = 0, 0, 0, len(html)
 
     def flush() -> None:
@@ -149,13 +171,14 @@ def parse(html: str) -> list[Node]:
                     break  # an inline end does not end a block
             continue
         if tag in RAW:
-            # raw content up to its own end tag, nested ones of the same name counted
-            depth, seek = 1, re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
-            while depth and (x := seek.search(html, at)):
-                depth += -1 if x[1] or tag in ("script", "style", "title", "textarea") else 1
-                at = x.end()
-            if depth:
-                at = end if tag != "head" else at
+            if tag in SWALLOWS:
+                x = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
+                at = x.end() if x else end
+            elif not _closes_itself(tag, m[3]):
+                # content up to its own end tag, nested ones of the same name counted; that of an unclosed one is read on
+                if tag not in raw_ends:
+                    raw_ends[tag] = _raw_ends(html, tag, m.start())
+                at = raw_ends[tag].get(at, at)
             run.append(" ")
             continue
         if tag in VOID:

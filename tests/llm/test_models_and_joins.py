@@ -154,6 +154,32 @@ def test_html_main_text(tree):
         assert html_extract.main_text(tree, empty) == ""
 
 
+@pytest.mark.parametrize(
+    ("header", "shown"),
+    [
+        ("<svg class=i />", ""),
+        ("<math/>", ""),
+        ("<svg><svg/><text>no</text></svg>", ""),
+        ('<svg viewBox="0 0 1 1" /><svg><g>no</g></svg>', ""),
+        ("<svg href=a/><g>no</g></svg>", ""),
+        ("<object><object>no</object></object>", ""),
+        *[(f"<{tag}>yes", "yes") for tag in ("button", "select", "object", "video", "audio", "svg")],
+        ("<button>yes<button>no</button>", "yes"),
+        ("<iframe><iframe>no</iframe>", ""),
+    ],
+)
+def test_html_text_after_raw_elements_is_read(header, shown):
+    nodes = html_extract.parse(f"<body><header>{header}</header><article><p>The article stays.</p></article></body>")
+    texts = [t for n in nodes for _, t in n.texts]
+    assert texts == [shown] * bool(shown) + ["The article stays."]
+
+
+def test_html_unclosed_raw_text_takes_the_rest():
+    for tag in ("script", "style", "textarea", "title", "xmp", "iframe", "noframes"):
+        assert [t for n in html_extract.parse(f"<p>a</p><{tag}>b<p>c</p>") for _, t in n.texts] == ["a"], tag
+    assert len(html_extract.parse("<p>a</p>" + "<button>" * 100_000)) == 2
+
+
 def test_html_pages_of_the_table(spark, tree):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     for r in rows:
