@@ -87,14 +87,6 @@ def paragraphs(docs: DataFrame, mode: str = "line", doc_id: str = "doc_id", text
     return found.select("doc_id", F.posexplode("found").alias("p_idx", "p")).select("doc_id", "p_idx", "p.p_start", "p.p_end")
 
 
-def line_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, idx, sentence: the line form inside the JVM, for texts without quote-ended sentences in a line."""
-    lines = F.transform(F.split(newlines(F.col(text)), "\n", -1), lambda x: F.trim(F.regexp_replace(x, rf"^[{_E}]+", "")))
-    short = lambda x: (F.length(x) < SHORT) & F.rlike(F.lower(x), F.lit("(?:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + ")$"))
-    kept = F.filter(lines, lambda x: (x != "") & ~short(x))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(kept).alias("idx", "sentence"))
-
-
 def context_windows(rows: DataFrame, reach: int = 2) -> DataFrame:
     """rows (doc_id, idx, sentence) with ``combined``: each sentence with its neighbours, joined by a blank."""
     near = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(-reach, reach)

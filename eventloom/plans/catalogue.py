@@ -30,17 +30,23 @@ def doc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, idx, sentence by the line mode, as the insert runs it; the SQL twins hold for texts without quote-ended
+    sentences in a line."""
+    return sentences.sentences(_t(spark, sf_dir, "documents"), "line").drop("start")
+
+
 def chunk_text_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentences.line_sentences(_t(spark, sf_dir, "documents")).withColumnsRenamed({"idx": "chunk_idx", "sentence": "text"})
+    rows = _sentences(spark, sf_dir).withColumnsRenamed({"idx": "chunk_idx", "sentence": "text"})
     return catalog.first_of_equal_texts(rows, ["doc_id", "chunk_idx"]).select("doc_id", "chunk_idx", F.sha2("text", 256).alias("sha256"))
 
 
 def sentence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.line_sentences(_t(spark, sf_dir, "documents"))
+    return _sentences(spark, sf_dir)
 
 
 def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentences.context_windows(sentences.line_sentences(_t(spark, sf_dir, "documents")))
+    rows = sentences.context_windows(_sentences(spark, sf_dir))
     return rows.select("doc_id", "idx", F.length("combined").alias("n_chars"), F.md5("combined").alias("digest"))
 
 
@@ -49,7 +55,7 @@ HEX = "0123456789abcdef"
 
 def _hashed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, idx, vector: counts of the window's words by the first digit of their digest, a hashing embedder in SQL."""
-    rows = sentences.line_sentences(_t(spark, sf_dir, "documents"))
+    rows = _sentences(spark, sf_dir)
     digits = F.array_join(F.transform(F.split("sentence", " "), lambda w: F.left(F.md5(w), F.lit(1))), "")
     rows = rows.select("doc_id", "idx", F.length("sentence").alias("n"), digits.alias("d"))
     rows = rows.select("doc_id", "idx", "n", *[(F.length("d") - F.length(F.replace("d", F.lit(h), F.lit("")))).alias(f"v{h}") for h in HEX])
@@ -88,7 +94,7 @@ SELECT doc_id, segment, min(idx) AS from_idx, max(idx) AS to_idx, sum(n)::BIGINT
 
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as chunks, short ones merged; no SQL twin, as a left fold that stops on lengths is not a window."""
-    rows = sentences.line_sentences(_t(spark, sf_dir, "documents"))
+    rows = _sentences(spark, sf_dir)
     made = rows.select("doc_id", F.col("idx").alias("chunk_idx"), F.col("idx").alias("from_idx"), F.col("idx").alias("to_idx"), F.col("sentence").alias("text"))
     return chunking.merge_short(made).select("doc_id", "chunk_idx", "from_idx", "to_idx", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
@@ -134,7 +140,7 @@ SELECT doc_id, term, round(weight, 6) AS weight, rank FROM r WHERE rank <= 5"""
 
 
 def keyword_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentences.line_sentences(_t(spark, sf_dir, "documents"))
+    rows = _sentences(spark, sf_dir)
     rows = rows.select("doc_id", "idx", F.split("sentence", " ").alias("keywords"))
     found = keywords.interleave(rows, "doc_id", "idx", "keywords")
     return found.select("doc_id", F.size("keywords").alias("n"), F.md5(F.array_join("keywords", "|")).alias("digest"))

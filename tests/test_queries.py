@@ -18,3 +18,22 @@ def test_entry_has_rows(spark):
 @pytest.mark.parametrize("name", ["chunk_merge", "sentence_spans", "paragraph_spans", "embed_clean", "rake_keywords", "yake_keywords", "mmr_select", "pagerank_converged"])
 def test_other_queries_give_rows(name, spark, sf_dir):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_sentence_queries_split_dialogue(spark, tmp_path):
+    """Quote-ended sentences within a line and lines of tabs, by a split of our own."""
+    texts = {1: 'He said "Go." Then he left.\nA plain line. It stays whole.', 2: "\t\nFirst line here\r\n\t \n\tSecond line here\t", 3: None}
+    want = {
+        1: ['He said "Go."', "Then he left.", "A plain line. It stays whole."],
+        2: ["First line here", "Second line here"],
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path))
+    lines = [(d, i, x) for d, all_of in want.items() for i, x in enumerate(all_of)]
+    assert sorted(map(tuple, run("sentence_lines").collect())) == lines
+    windows = [(d, i, len(" ".join(want[d][max(0, i - 2) : i + 3]))) for d, i, _ in lines]
+    assert sorted((r.doc_id, r.idx, r.n_chars) for r in run("sentence_windows").collect()) == windows
+    assert run("chunk_text_unique").count() == len(lines)
+    assert {r.doc_id: r.n for r in run("keyword_interleave").collect()}.keys() == want.keys()
+    made = run("segments").groupBy("doc_id").agg({"n_chars": "sum", "to_idx": "max"}).collect()
+    assert {r.doc_id: (r["sum(n_chars)"], r["max(to_idx)"]) for r in made} == {d: (sum(map(len, x)), len(x) - 1) for d, x in want.items()}
