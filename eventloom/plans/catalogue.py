@@ -276,7 +276,7 @@ SELECT label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 E
 
 
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, scores = clustering.sweep(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=5, most=7, restarts=2)
+    _, scores = clustering.sweep(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return scores.select("k", "is_best")
 
 

@@ -37,3 +37,12 @@ def test_sentence_queries_split_dialogue(spark, tmp_path):
     assert {r.doc_id: r.n for r in run("keyword_interleave").collect()}.keys() == want.keys()
     made = run("segments").groupBy("doc_id").agg({"n_chars": "sum", "to_idx": "max"}).collect()
     assert {r.doc_id: (r["sum(n_chars)"], r["max(to_idx)"]) for r in made} == {d: (sum(map(len, x)), len(x) - 1) for d, x in want.items()}
+
+
+def test_kmeans_sweep_finds_more_than_seven_clusters(spark, tmp_path):
+    """Eight far points, two of them twice: k = 8 is best, and every k that ten rows allow is tried."""
+    points = [[100.0 * (i == j) for j in range(8)] for i in range(8)]
+    rows = [(i, p) for i, p in enumerate(points + [[x + 0.1 for x in points[0]], [x + 0.1 for x in points[1]]])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {r.k: r.is_best for r in catalogue.QUERIES["kmeans_sweep"](spark, str(tmp_path)).collect()}
+    assert set(found) > {5, 6, 7, 8} and [k for k, best in found.items() if best] == [8]
