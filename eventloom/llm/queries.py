@@ -20,8 +20,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.learn(secret_scan.labelled_findings(spark))
-    return secret_scan.scan(_table(spark, sf_dir, "documents"), forest)
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.learn_from(docs))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
