@@ -1,19 +1,21 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is a window over a node's neighbours and never makes more edges than it had (a node's neighbours all move
-to their least member), so a hub costs as many rows as it has edges. Rounds are written to the checkpoint folder.
+Every round takes the least neighbour of each node, an aggregation that begins on the map side, and joins it back to the
+edges, a join whose large keys Spark may split; so no task has to read all the edges of a hub. A round never makes more
+edges than it had (a node's neighbours all move to their least member). Rounds are written to the checkpoint folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.durable import durable
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    return edges.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:

@@ -2,19 +2,21 @@
 
 Two sets with Jaccard similarity of at least t share a token among the first ``n - ceil(t n) + 1`` tokens of both under
 *any* global order. Here every order puts frequent tokens last (token counts of the whole corpus, kept in a table of
-hash buckets, about one for eight tokens and 2**26 at most) and breaks ties by its own hash, so each order is a
+hash buckets, about one for sixteen tokens and 2**26 at most) and breaks ties by its own hash, so each order is a
 different filter:
 
-1. for each order, the documents that share a prefix token are chained in order of length, broken where lengths differ
-   too much; chains that touch make that order's clusters;
+1. for each order, the sets that share a prefix token are chained in order of length, broken where lengths differ too
+   much; chains that touch make that order's clusters. A token that many sets have is dealt out over salts: each salt is
+   chained on its own into runs of lengths, and the few runs of all salts are joined where their lengths meet;
 2. the clusters of the orders are intersected: only documents that fall together under *every* order stay candidates;
 3. inside an intersection, each pair must share a prefix token under every order, and is then verified by its exact
    overlap.
 
-Equal sets are one node throughout, so copies cost a count. Everything that moves is linear in the input: prefix
-tokens with set ids, chain edges, and the sets of candidates. A pair is never a row: pairs are verified in blocks of at
-most ``block`` shingles, and blocks of one intersection meet two by two, so a large group becomes many tasks. Nothing
-about documents reaches the driver except the counts table, 64 MB at most.
+Equal sets are one node throughout: a task sends the prefix of a set once however many copies it reads. What moves is
+linear in the input: prefix tokens with set ids, chain edges, and the sets of candidates. A pair is never a row: pairs
+are verified in blocks of about ``block`` shingles. The number of links of every set is asked for, so all pairs of an
+intersection are compared: one of B blocks becomes B (B + 1) / 2 tasks, and its sets are sent B times. Nothing about
+documents reaches the driver except the counts table, 64 MB at most.
 
 Defined results: null, empty and wordless texts have no shingles and no links, and are their own component; rows are
 documents, so repeated rows are copies of each other; extra columns are ignored; an empty table gives no rows. Sets are
@@ -40,14 +42,18 @@ from eventloom.llm.shingles import mix, shingle_groups, shingle_sets, signature
 
 #: Tokens of the corpus for one bucket of the counts table, and the bits of its least and largest size. A smaller table
 #: tells fewer rare tokens apart, which costs candidates, never links.
-TOKENS_A_BUCKET, LEAST_BITS, MOST_BITS = 8, 16, 26
+TOKENS_A_BUCKET, LEAST_BITS, MOST_BITS = 16, 16, 26
+#: Rows of a token, by the counts table, that one salt should get.
+SALTED = 2048
 #: Buckets that travel as one row while counts are summed.
 SLICE = 1 << 16
 ORDERS = 2  # the order's number is kept in the lowest bit of keys and nodes
 #: Shingles in one block of a verification task; a task holds two blocks.
 BLOCK = 1_000_000
-#: Candidate ids that may be broadcast to read their texts again; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Candidates (48 bytes each) that may be broadcast to read their texts again; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Sets that a task remembers so as not to send their prefixes twice.
+REMEMBERED = 200_000
 _U = np.uint64
 
 
@@ -77,18 +83,18 @@ def prefix(s: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.nd
 
 
 def document_sets(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """doc_id, sid, n_shingles: the id of each row's set. Narrow."""
+    """doc_id, thash, sid, n_shingles: the id of each row's set. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sids, sizes = [], []
-            for s in shingle_sets(batch.column(1), k):
+            for s in shingle_sets(batch.column(2), k):
                 sids.append(signature(s))
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "sid", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "thash", "sid", "n_shingles"])
 
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, sid long, n_shingles long")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("thash"), F.col(text).alias("text"))
+    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, thash long, sid long, n_shingles long")
 
 
 def _sum_slices(table: pa.Table) -> np.ndarray:
@@ -134,45 +140,72 @@ def token_counts(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
     return classes
 
 
-def prefix_rows(docs: DataFrame, text: str, k: int, percent: int, counts) -> DataFrame:
-    """key, n, sid: for every order, the prefix tokens of each row's set; the key's lowest bit is the order."""
+def _salts(classes: np.ndarray, sid: int, salted: int) -> np.ndarray:
+    """0 for tokens of few rows, else 1 or more, by the set; the higher the count, the more salts."""
+    salts = np.zeros(len(classes), dtype=np.int32)
+    many = np.flatnonzero(classes >= 8 * math.log2(salted))
+    if len(many):
+        number = np.exp2(classes[many] / 8) // salted + 1
+        salts[many] = 1 + int(mix(np.array([sid & (2**64 - 1)], dtype=_U))[0] >> 1) % number.astype(np.int64)
+    return salts
+
+
+def prefix_rows(docs: DataFrame, text: str, k: int, percent: int, counts, salted: int = SALTED) -> DataFrame:
+    """key, salt, n, sid: for every order, the prefix tokens of each set; the key's lowest bit is the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
+        table, sent = counts.value, set()
 
-        def flush(keys, sizes, sids, lengths):
+        def flush(keys, salts, sizes, sids, lengths):
             repeat = np.array(lengths)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), repeat)), pa.array(np.repeat(np.array(sids, dtype=np.int64), repeat))], names=["key", "n", "sid"])
+            columns = [np.concatenate(keys).view(np.int64), np.concatenate(salts), np.repeat(np.array(sizes, dtype=np.int32), repeat), np.repeat(np.array(sids, dtype=np.int64), repeat)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "salt", "n", "sid"])
 
         for batch in batches:
-            keys, sizes, sids, lengths, held = [], [], [], [], 0
+            held, size = ([], [], [], [], []), 0
             for s in shingle_sets(batch.column(0), k):
-                if not len(s):
-                    continue
                 sid = signature(s)
+                if not len(s) or sid in sent:
+                    continue
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.add(sid)
                 for order in range(ORDERS):
                     tokens = prefix(s, table, order, percent)
-                    keys.append((tokens & ~_U(1)) | _U(order))
-                    sizes.append(len(s))
-                    sids.append(sid)
-                    lengths.append(len(tokens))
-                    held += len(tokens)
-                if held > 200_000:
-                    yield flush(keys, sizes, sids, lengths)
-                    keys, sizes, sids, lengths, held = [], [], [], [], 0
-            if held:
-                yield flush(keys, sizes, sids, lengths)
-
-    return docs.select(text).mapInArrow(run, "key long, n int, sid long")
+                    for column, value in zip(held, ((tokens & ~_U(1)) | _U(order), _salts(table[_buckets(tokens, len(table))], sid, salted), len(s), sid, len(tokens)), strict=True):
+                        column.append(value)
+                    size += len(tokens)
+                if size > 200_000:
+                    yield flush(*held)
+                    held, size = ([], [], [], [], []), 0
+            if size:
+                yield flush(*held)
+
+    return docs.select(text).mapInArrow(run, "key long, salt int, n int, sid long")
+
+
+def chain_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """key, a, b: links of sets that share a token and follow each other in length, within a salt and from run to run."""
+    own = Window.partitionBy("key", "salt").orderBy("n", "sid")
+    near = lambda m, n: 100 * m >= percent * n
+    before, after = F.lag(F.struct("n", "sid")).over(own), F.lead("n").over(own)
+    placed = rows.select("*", before.alias("before"), after.alias("after"))
+    first = ~F.coalesce(near(F.col("before.n"), F.col("n")), F.lit(False))
+    last = ~F.coalesce(near(F.col("n"), F.col("after")), F.lit(False))
+    placed = placed.select("key", "salt", "n", "sid", F.when(~first & (F.col("before.sid") != F.col("sid")), F.col("before.sid")).alias("other"), ((F.col("salt") > 0) & first).alias("first"), ((F.col("salt") > 0) & last).alias("last"))
+    placed = durable(placed.where("other is not null or first or last"))
+    # the bounds of the runs of each salt; a run's first row is followed by its last one, unless it is both
+    end = F.when(F.col("last"), F.struct("n", "sid")).otherwise(F.lead(F.struct("n", "sid")).over(own))
+    runs = placed.where("first or last").select("key", "n", "sid", "first", end.alias("end")).where("first")
+    passed = Window.partitionBy("key").orderBy("n", "sid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("key", "n", "sid", F.max("end").over(passed).alias("far")).where(near(F.col("far.n"), F.col("n")) & (F.col("far.sid") != F.col("sid")))
+    return placed.where("other is not null").select("key", F.col("sid").alias("a"), F.col("other").alias("b")).unionByName(runs.select("key", F.col("sid").alias("a"), F.col("far.sid").alias("b")))
 
 
 def order_clusters(rows: DataFrame, percent: int) -> DataFrame:
     """sid, c0, c1: the cluster of each set under every order; sets without a partner under some order are left out."""
-    chain = Window.partitionBy("key").orderBy("n", "sid")
-    near = rows.select("key", "n", "sid", F.lag("sid").over(chain).alias("other"), F.lag("n").over(chain).alias("m"))
-    near = near.where((F.col("other") != F.col("sid")) & (100 * F.col("m") >= percent * F.col("n")))
     mark = F.col("key").bitwiseAND(F.lit(1))
-    edges = near.select(F.col("sid").bitwiseOR(mark).alias("a"), F.col("other").bitwiseOR(mark).alias("b")).distinct()
+    edges = chain_edges(rows, percent).select(F.col("a").bitwiseOR(mark).alias("a"), F.col("b").bitwiseOR(mark).alias("b"))
     found = components(edges, "a", "b")
     order = F.col("node").bitwiseAND(F.lit(1))
     own = [F.max(F.when(order == i, F.col("root"))).alias(f"c{i}") for i in range(ORDERS)]
@@ -303,21 +336,24 @@ def _with_tokens(docs: DataFrame, text: str, wanted: DataFrame, doc_id: str, k:
     return own.mapInArrow(run, "g long, sid long, n_copies long, at int, last int, tokens binary")
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links), n_links (rows linked with this one)."""
+def joined_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, block: int = BLOCK, salted: int = SALTED) -> DataFrame:
+    """doc_id, thash (xxhash64 of the text), n_shingles, component_id, n_links, is_head of every row.
+
+    The head of a component is its row with the least id, null ids last, and of those with that id the one with the least
+    hash of its text; rows that repeat the head are heads as well, and so is every row without shingles.
+    """
     spark = docs.sparkSession
     rows = durable(document_sets(docs, doc_id, text, k))
-    sets = durable(rows.where("n_shingles > 0").groupBy("sid", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")).alias("head")
+    sets = durable(rows.where("n_shingles > 0").groupBy("sid", "n_shingles").agg(head, F.count("*").alias("n_copies")))
     tokens = sets.agg(F.sum(F.col("n_shingles") * F.col("n_copies"))).first()[0] or 0
     counts = spark.sparkContext.broadcast(token_counts(docs, text, k, bucket_bits(tokens)))
     # the orders' clusters intersected
-    both = sets.join(order_clusters(prefix_rows(docs, text, k, percent, counts), percent), "sid")
-    names = [f"c{order}" for order in range(ORDERS)]
-    group = Window.partitionBy(*names)
-    both = both.withColumn("size", F.count("*").over(group)).where("size > 1").withColumn("g", F.xxhash64(*names))
-    run_up = Window.partitionBy("g").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("at", F.floor((F.sum("n_shingles").over(run_up) - 1) / block).cast("int"))
-    both = durable(both.withColumn("last", F.max("at").over(Window.partitionBy("g"))).select("g", "sid", "doc_id", "n_copies", "at", "last"))
+    both = sets.join(order_clusters(prefix_rows(docs, text, k, percent, counts, salted), percent), "sid")
+    both = durable(both.select("sid", "n_shingles", F.col("head.doc_id").alias("doc_id"), "n_copies", F.xxhash64(*[f"c{order}" for order in range(ORDERS)]).alias("g")))
+    groups = both.groupBy("g").agg(F.count("*").alias("size"), F.ceil(F.sum("n_shingles") / block).cast("int").alias("blocks")).where("size > 1")
+    at = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int").alias("at")
+    both = durable(both.join(groups, "g").select("g", "sid", "doc_id", "n_copies", at, (F.col("blocks") - 1).alias("last")))
     meets = _with_tokens(docs, text, both, doc_id, k).select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
     side = (F.col("at") > F.col("other")).cast("int").alias("side")
     meets = meets.select("g", "sid", "n_copies", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), side, "tokens")
@@ -325,9 +361,17 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     linked = components(found, "sid", "root").select(F.col("node").alias("sid"), "root")
     per_set = sets.join(linked, "sid", "left").join(found.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left")
     per_set = per_set.withColumn("root", F.coalesce("root", "sid"))
-    least = per_set.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = per_set.groupBy("root").agg(F.min("head").alias("first"))
     links = (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    per_set = per_set.join(least, "root").select("sid", "component_id", links)
+    per_set = per_set.join(least, "root").select("sid", "first", links)
+    full = F.col("n_shingles") > 0
+    is_head = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("thash") == F.col("first.thash"))
     return rows.join(per_set, "sid", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+        "doc_id", "thash", "n_shingles", F.when(full, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (~full | is_head).alias("is_head"),
+    )
+
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, block: int = BLOCK, salted: int = SALTED) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links), n_links (rows linked with this one)."""
+    return joined_rows(docs, doc_id, text, k, percent, block, salted).select("doc_id", "n_shingles", "component_id", "n_links")
