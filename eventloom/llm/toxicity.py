@@ -27,7 +27,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.codes import ALPHABET, codepoints, tables, text_batches
@@ -329,23 +329,41 @@ def text_margins(model: ToxicityModel, texts: list[str]) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """The machine of at most ``sample`` labelled rows of either label, the least by hash of their id."""
     held = []
-    counts = {r[0]: r[1] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    known = labels.select(F.col(doc_id).alias("l_id"), F.col(label).alias("label")).where(F.col("label").isin(0, 1))
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     for value in (0, 1):
-        ids = labels.where(F.col(label) == value).select(F.col(doc_id).alias("l_id")).distinct().orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-        rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), F.col(doc_id) == F.col("l_id"), "left_semi")
-        held += [(r[0], value) for r in rows.select(text).limit(2 * sample).collect()]
+        ids = known.where(F.col("label") == value).select("l_id").distinct().orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
+        rows = own.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"), "left_semi")
+        # ids may repeat; the order makes the bound take the same rows every time
+        held += [(r[0], value) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * sample).select("text").collect()]
     return fit(held, {x: counts.get(x, 0) for x in (0, 1)})
 
 
+def _probabilities(model: ToxicityModel, column: pa.Array) -> np.ndarray:
+    margins = [text_margins(model, texts) for texts in text_batches(column)]
+    return 1 / (1 + np.exp(-np.clip(model.slope * np.concatenate(margins or [np.zeros(0)]) + model.offset, -30, 30)))
+
+
+def probability(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
+    """The score of each row's text as a column of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array(_probabilities(shared.value, column))
+
+    return run(F.col(text))
+
+
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            margins = [text_margins(m, texts) for texts in text_batches(batch.column(1))]
-            p = 1 / (1 + np.exp(-np.clip(m.slope * np.concatenate(margins or [np.zeros(0)]) + m.offset, -30, 30)))
+            p = _probabilities(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
