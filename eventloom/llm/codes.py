@@ -1,6 +1,6 @@
 """Texts as arrays of small letter codes, for operators that score every character without a Python loop.
 
-A letter is any Unicode letter or combining mark. Codes: 0 other, 1 white space, 2-27 a to z, 28-63 other letters
+Words are made of Unicode letters and combining marks. Codes: 0 other, 1 white space, 2-27 a to z, 28-63 other letters
 (after lower-casing; a letter outside Latin-1 shares its code with others of the same residue).
 """
 
@@ -33,20 +33,21 @@ SCRIPT_NAMES = ("other", *SCRIPTS)
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes and script numbers of all code points."""
-    code, script = np.zeros(0x40000, dtype=np.uint8), np.zeros(0x40000, dtype=np.uint8)
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letter codes, script numbers, and whether it is a letter proper, of all code points below 0x40000, where letters end."""
+    code, script, proper = np.zeros(0x40000, dtype=np.uint8), np.zeros(0x40000, dtype=np.uint8), np.zeros(0x40000, dtype=bool)
     for i, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
             script[a : b + 1] = i
-    for c in range(0x30000):
+    for c in range(0x3FFFF):
         x = chr(c)
         if x.isspace():
             code[c] = 1
         elif unicodedata.category(x)[0] in "LM":
             low = ord(x.lower()[0])
             code[c] = low - 95 if 97 <= low <= 122 else 28 + low % 36
-    return code, script
+            proper[c] = unicodedata.category(x)[0] == "L"
+    return code, script, proper
 
 
 def codepoints(texts: list[str]) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Language identification: script ranges, per-word scores, Viterbi over words.
 
-A word is a run of letters. Its score under a language is the log-likelihood of its letter trigrams (word bounds
+A word is a run of letters and combining marks with a letter in it. Its score under a language is the log-likelihood of its letter trigrams (word bounds
 included), learned with add-one smoothing. The script of a word narrows the candidates to languages that were seen in
 that script; a word in a script of no learned language says nothing. Viterbi over the words of a text, with a fixed
 penalty for every change of language, labels spans of mixed text; the text's language is the one that labels most
@@ -47,10 +47,13 @@ class LanguageModel:
 
 def _words(texts: list[str]):
     points = codepoints(texts)
-    code, script = tables()
+    code, script, proper = tables()
     letters = code[points]
     letters[letters == 1] = 0
     starts, ends = runs(letters > 0)
+    if len(starts):
+        full = np.add.reduceat(proper[points].astype(np.int64), starts) > 0  # what lies between runs is no letter
+        starts, ends = starts[full], ends[full]
     padded = np.concatenate([[0], letters, [0]]).astype(np.int64)
     grams = (padded[:-2] * ALPHABET + padded[1:-1]) * ALPHABET + padded[2:]
     bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
@@ -147,9 +150,11 @@ def label_texts(model: LanguageModel, texts: list[str]) -> Iterator[tuple[str, f
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, switch: float = SWITCH) -> LanguageModel:
     """The model of at most ``sample`` rows with a language, the least by hash of their id."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ids = rows.select(F.col(doc_id).alias("l_id")).distinct().orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    held = rows.join(F.broadcast(ids), F.col(doc_id) == F.col("l_id"), "left_semi").select(text, lang).limit(2 * sample).collect()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
+    ids = rows.select(F.col("doc_id").alias("l_id")).distinct().orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
+    rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"), "left_semi")
+    # ids may repeat; the order makes the bound take the same rows every time
+    held = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(2 * sample).select("text", "lang").collect()
     return fit([(r[0], r[1]) for r in held], switch)
 
 
