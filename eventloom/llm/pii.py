@@ -5,8 +5,11 @@ homoglyphs and invisible characters, spelled-out digits and at/dot disguises and
 source characters that it stands for. The same detectors run over a text that was rewritten; a find that holds a
 rewritten piece is mapped back to its source characters and added unless it overlaps a plain find of its kind.
 
-Offsets are code points, ends exclusive. Texts are scanned whole, each in time linear in its length; the operator is a
-narrow stage. Defined results: null and empty texts have no spans; repeated rows are scanned alike; extra columns are
+A name at a host, as in "mail ann at example.com", is read as an address only where a word for mail stands one or two
+words before the name, or the name has a sign or digit inside: "look at example.com" is not one.
+
+Offsets are code points, ends exclusive. Texts are scanned whole, each in time linear in its length: the rules begin at a
+sign or word, never at the blanks before it, which are read backwards once. The operator is a narrow stage. Defined results: null and empty texts have no spans; repeated rows are scanned alike; extra columns are
 ignored.
 """
 
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,31 +64,45 @@ _DIGIT_OF = {w: d for d, words in DIGIT_WORDS.items() for w in words.split()}
 _NUMBER = "|".join(a + "(?:" + "|".join(w[1:] for w in sorted(_DIGIT_OF, key=len, reverse=True) if w[0] == a) + ")" for a in sorted({w[0] for w in _DIGIT_OF}))
 _FIRST = "[" + "".join(sorted({w[0] for w in _DIGIT_OF})) + "]"
 _AT, _DOT, _PLUS = (s.replace(" ", "|") for s in (AT_WORDS, DOT_WORDS, PLUS_WORDS))
-_GAP = r"[\x20\t]*[,;/-]?[\x20\t]*"
+#: Words for mail in English, French, German and Spanish, and the commonest ends of host names.
+MAIL_WORDS = frozenset("mail email mailto e-mail write contact reach send schreib schreibe kontakt courriel écrire écrivez correo escribe contacto".split())
+HOST_ENDS = frozenset("com org net edu gov info io co de fr es uk eu us ch at it nl".split())
+_BLANKS = r"[\x20\t]"
+_GAP = rf"{_BLANKS}*+(?:[,;/-]{_BLANKS}*+)?"
 _STRANGE = re.compile("[" + _INVISIBLE + "Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९․⁰-⁹₀-₉。﹒﹫！-～\U0001d400-\U0001d7ff]")
-_BRACKETED = r"[\x20\t]*[(\[{{<][\x20\t]*(?:{0})[\x20\t]*[)\]}}>][\x20\t]*"
-#: The transducer's rules, tried in this order at each place; the lookaheads only spare tries that must fail.
+_BRACKETED = rf"[(\[{{{{<]{_BLANKS}*+(?:{{0}}){_BLANKS}*+[)\]}}}}>]{_BLANKS}*+"
+_SINGLE = r"[A-Za-z0-9._-]"
+_SPACED = rf"{_SINGLE}(?:\x20{_SINGLE})++(?=\x20?[@(\[{{<])"
+_SPACED_FIRST = re.compile(rf"(?P<spaced>{_SPACED})")
+#: The transducer's rules, tried in this order at each place. The lookaheads only spare tries that must fail, and repeats
+#: that could be tried in two ways give nothing back.
 _RULES = re.compile(
-    "(?i)(?:"
-    + rf"(?=[\x20\t(\[{{<_@-])(?=[\x20\t]*[(\[{{<@]|[\x20\t_-]+(?:{_AT}|{_DOT}))(?:"
+    rf"(?i)(?:(?=[(\[{{<@_-]|{_BLANKS}(?:[@.]|{_AT}|{_DOT}|{_SINGLE}\x20))(?:"
     + "|".join(
         [
-            rf"(?P<at>{_BRACKETED.format(_AT + '|@')}|(?<=[a-z0-9])[_-](?:{_AT})[_-](?=[a-z0-9])|(?<=[a-z0-9])[\x20\t]+@[\x20\t]*(?=[a-z0-9])|(?<=[a-z0-9])@[\x20\t]+(?=[a-z0-9-]+[\x20\t]*[\[(.]))",
+            rf"(?P<at>{_BRACKETED.format(_AT + '|@')}|(?<=[a-z0-9])[_-](?:{_AT})[_-](?=[a-z0-9])|{_BLANKS}@{_BLANKS}*+(?=[a-z0-9])|(?<=[a-z0-9])@{_BLANKS}++(?=[a-z0-9-]++{_BLANKS}*+[\[(.]))",
             rf"(?P<dot>{_BRACKETED.format(_DOT + '|[.]')}|(?<=[\w)\]}}])[_\x20-](?:{_DOT})[_\x20-](?=\w))",
-            rf"(?P<wordat>(?<=[\w)\]])[\x20\t]+(?:{_AT})[\x20\t]+(?=[\w.-]+[\x20\t]*[\x20_\[({{<-](?:{_DOT})\b))",
+            rf"(?P<wordat>{_BLANKS}(?:{_AT}){_BLANKS}++(?=[\w.-]+?(?:{_BLANKS}++[\[({{<]?|_|[\[({{<-]){_BLANKS}*+(?:{_DOT})\b))",
+            rf"(?P<hostat>{_BLANKS}(?:{_AT}){_BLANKS}++(?=[a-z0-9-]++(?:\.[a-z0-9-]++)++))",
+            rf"(?P<loose>{_BLANKS}\.{_BLANKS}++(?=[a-z0-9]))",
+            rf"(?P<spaced>{_BLANKS}(?<![^\w.-]{_SINGLE}{_BLANKS})(?<!\A{_SINGLE}{_BLANKS}){_SPACED})",
         ]
     )
     + ")|"
     + "|".join(
         [
-            rf"(?P<plus>\b(?:{_PLUS})[\x20\t]+(?=(?:[0-9]|{_NUMBER})))",
+            rf"(?P<plus>\b(?:{_PLUS}){_BLANKS}++(?=(?:[0-9]|{_NUMBER})))",
             rf"(?P<number>\b(?={_FIRST})(?:{_NUMBER})(?:{_GAP}(?:{_NUMBER}))*\b)",
             rf"(?P<glyph>{_STRANGE.pattern})",
-            r"(?P<blur>(?<=[0-9])[OoIl|]+(?=[\x20-]?[0-9])|(?<=[0-9][\x20-])[OoIl|]+(?=[\x20-]?[0-9]))",
+            r"(?P<blur>(?<=[0-9])[OoIl|]++(?=[\x20-]?[0-9])|(?<=[0-9][\x20-])[OoIl|]++(?=[\x20-]?[0-9]))",
         ]
     )
     + ")"
 )
+#: Rules that also take the blanks before them.
+_TAKES_BLANKS = frozenset(("at", "dot", "wordat", "hostat", "loose"))
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\Z")
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -132,10 +149,12 @@ def _glyph(c: str) -> str:
 
 def _write(m: re.Match) -> str:
     kind, text = m.lastgroup, m[0]
-    if kind in ("at", "wordat"):
+    if kind in ("at", "wordat", "hostat"):
         return "@"
-    if kind == "dot":
+    if kind in ("dot", "loose"):
         return "."
+    if kind == "spaced":
+        return text.replace(" ", "").replace("\t", "")
     if kind == "plus":
         return "+"
     if kind == "number":
@@ -146,17 +165,54 @@ def _write(m: re.Match) -> str:
     return str(unicodedata.digit(text)) if out and unicodedata.digit(out[0], None) is not None and not out[0].isascii() else out
 
 
+def _is_named(text: str, end: int) -> bool:
+    """Whether the word that ends here is a name before a host: by its own signs, or by a word for mail before it."""
+    start = end
+    while start > 0 and text[start - 1] in _LOCAL:
+        start -= 1
+    name = text[start:end].strip(".")
+    if any(not c.isalpha() for c in name):
+        return any(c.isalpha() for c in name)
+    near = text[max(0, start - 40) : start].replace(":", " ").lower().split()
+    return bool(name) and any(w in MAIL_WORDS for w in near[-2:])
+
+
 def transduce(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The rewritten text and its pieces (start, end, source start, source end), rewritten ones only."""
-    out, pieces, done, at = [], [], 0, 0
-    for m in _RULES.finditer(text):
+    out, pieces, done, at, place, held, kind = [], [], 0, 0, 0, "", ""
+    first = _SPACED_FIRST.match(text)
+    while m := (not place and first) or _RULES.search(text, place):
+        start, was = m.start(), kind
+        kind = m.lastgroup
+        if kind in _TAKES_BLANKS:
+            while start > done and text[start - 1] in " \t":
+                start -= 1
+        elif kind == "spaced" and m is not first:
+            start += 1  # after the blank
+        before = text[start - 1 : start] if start > done else held[-1:]
+        good = True
+        if kind == "at" and m[0][0] in " \t":
+            good = before.isascii() and before.isalnum()
+        elif kind == "wordat":
+            good = before == "_" or before.isalnum() or before in (")", "]")
+        elif kind == "hostat":
+            good = _is_named(text, start)
+        elif kind == "loose":
+            # between the numbers of an address, or in the host that follows an at sign
+            follows = _LABEL.match(text, m.end())[0]
+            good = (before.isdigit() and follows.isdigit()) or (was in ("at", "wordat", "loose") and follows.lower() in HOST_ENDS and bool(_HOST.match(text[done:start])))
+        if not good:
+            kind, place = was, m.start() + 1
+            continue
         new = _write(m)
-        out.append(text[done : m.start()])
-        at += m.start() - done
-        pieces.append((at, at + len(new), m.start(), m.end()))
+        if start > done:
+            out.append(text[done:start])
+            at += start - done
+        pieces.append((at, at + len(new), start, m.end()))
         out.append(new)
         at += len(new)
-        done = m.end()
+        done = place = m.end()
+        held = new or held
     out.append(text[done:])
     return "".join(out), pieces
 
@@ -182,6 +238,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         # a rewritten text can hide another disguise under homoglyphs: spelled words, signs
         again, more = transduce(rewritten) if any(not c.isascii() for c in text) else (rewritten, [])
         starts, starts_again = [p[0] for p in pieces], [p[0] for p in more]
+        taken = {kind: [(a, b) for k, a, b in plain if k == kind] for kind in KINDS}
         for kind, a, b in plain_spans(again):
             a, b = (_source(x, more, starts_again, end) for x, end in ((a, False), (b, True)))
             a, b = (_source(x, pieces, starts, end) for x, end in ((a, False), (b, True)))
@@ -189,7 +246,9 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
                 a += 1
             while b > a and text[b - 1].isspace():
                 b -= 1
-            if not any(k == kind and s < b and a < e for k, s, e, _ in out):
+            # plain finds of a kind do not overlap: only the last one that begins before the end can meet this one
+            at = bisect_left(taken[kind], (b,)) - 1
+            if at < 0 or taken[kind][at][1] <= a:
                 out.append((kind, a, b, False))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
