@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.sqltext import SPACE, let, space_words
+from eventloom.llm.sqltext import SPACE, fresh, let, space_words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -75,25 +75,34 @@ def _repeat_words(words: Column) -> Column:
     return let(hashes, count)
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_long_words")
+
+
 def quality_measures(docs: DataFrame, text: str = "text", stop_words=STOP_WORDS) -> DataFrame:
-    """docs with the measures that the rules compare, in two narrow projections."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select("*", space_words(F.col(text)).alias("__words"), F.filter(F.split(raw, "\n", -1), lambda x: F.trim(x, F.lit(SPACE)) != "").alias("__lines"))
-    words, lines, long = F.col("__words"), F.col("__lines"), lambda c: c.cast("long")
-    # one lookup for each word; IN over literals is a hash set
-    stop = F.size(F.filter(words, lambda w: w.isin(*stop_words)))
-    return split.withColumns(
-        {
-            "n_words": long(F.size(words)),
-            "word_chars": long(F.length(F.array_join(words, ""))),
+    """docs with the measures that the rules compare, in two narrow projections.
+
+    The words and lines are bound inside one expression, so that a filter on a measure, which Spark moves below the
+    projection, splits the text once more, not once for each word.
+    """
+    raw, long = F.coalesce(F.col(text), F.lit("")), lambda c: c.cast("long")
+
+    def measures(x: Column) -> Column:
+        columns = {
+            "n_words": long(F.size(x.words)),
+            "word_chars": long(F.length(F.array_join(x.words, ""))),
             "n_symbols": long(F.regexp_count(raw, F.lit(SYMBOLS))),
-            "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
-            "n_repeat_words": _repeat_words(words),
-            "n_lines": long(F.size(lines)),
-            "n_stop_words": long(stop),
-            "n_long_words": long(F.size(F.filter(words, lambda w: F.length(w) > 40))),
+            "n_dup_lines": long(F.size(x.lines) - F.size(F.array_distinct(x.lines))),
+            "n_repeat_words": _repeat_words(x.words),
+            "n_lines": long(F.size(x.lines)),
+            # one lookup for each word; IN over literals is a hash set
+            "n_stop_words": long(F.size(F.filter(x.words, lambda w: w.isin(*stop_words)))),
+            "n_long_words": long(F.size(F.filter(x.words, lambda w: F.length(w) > 40))),
         }
-    ).drop("__words", "__lines")
+        return F.struct(*[columns[k].alias(k) for k in MEASURES])
+
+    parts = F.struct(space_words(F.col(text)).alias("words"), F.filter(F.split(raw, "\n", -1), lambda x: F.trim(x, F.lit(SPACE)) != "").alias("lines"))
+    held = fresh(docs, "measures")
+    return docs.withColumn(held, let(parts, measures)).withColumns({k: F.col(held)[k] for k in MEASURES}).drop(held)
 
 
 def compile_rules(rules=RULES) -> Column:
