@@ -101,8 +101,15 @@ class Language:
 def learn_words(docs: DataFrame, text: str = "text", words: int = WORDS) -> Language:
     """The language of all texts: one aggregation by word, written once, then two small ones over the words."""
     counts = durable(docs.select(F.explode(F.split(F.col(text), "[^A-Za-z]+")).alias("w")).where(F.length("w") > 1).groupBy("w").agg(F.count("*").alias("n")))
-    low = counts.where(F.length("w") > 2).groupBy(F.lower("w").alias("w")).agg(F.sum("n").alias("n"))
-    top = low.orderBy(F.desc("n"), "w").limit(words)
+    low = durable(counts.where(F.length("w") > 2).groupBy(F.lower("w").alias("w")).agg(F.sum("n").alias("n")))
+    # the least count that leaves about as many words as are wanted, so that few rows are sorted for the exact ones
+    level = F.floor(F.log2("n") * 8).cast("int")
+    left, least = words, 0
+    for r in low.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        left, least = left - r["count"], r.level
+        if left <= 0:
+            break
+    top = low.where(level >= least).orderBy(F.desc("n"), "w").limit(words)
     ends = F.transform(F.split("w", ""), lambda c: F.instr(F.lit(ALPHABET), c))
     pairs = counts.select("n", ends.alias("c")).select("n", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: a * _CLASSES + b)).alias("p"))
     pairs = pairs.groupBy("p").agg(F.sum("n").alias("n"))
