@@ -14,7 +14,7 @@ from eventloom.functions.durable import durable
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    least = durable(edges.groupBy("u").agg(F.min("v").alias("least")))  # read from storage, so that both sides of the join may be split
     return edges.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
 
 
