@@ -4,6 +4,7 @@ repeated rows, empty tables and clashing columns."""
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ TEXTS = [None, "", " \n\t ", "word", "a b\na b\na b", "x " * 5000, "\x0bé\x0cü
 
 def test_quality_measures_by_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_words string")
+    docs = docs.withColumns({"words": F.lit(1), "lines": F.lit(2), "Words_": F.lit(3)})
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     for i, t in enumerate(TEXTS):
         words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -60,11 +62,21 @@ def test_chat_round_trip(spark):
         learned = "".join(t for role, t in want[r.conv_id] if role == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want[r.conv_id]).encode()).hexdigest()
+    for r in chat.format_chats(df).collect():
+        assert [r.formatted[a:b] for a, b in r.loss_spans] == [r.formatted.encode()[a:b].decode() for a, b in r.loss_octets]
     assert chat.format_chats(df.limit(0)).count() == 0
     plain = chat.format_chats(spark.createDataFrame([(1, 0, "assistant", "hi")], "conv_id long, turn long, role string, text string")).first()
     assert plain.formatted == "<|im_start|>assistant\nhi<|im_end|>\n" and plain.formatted[plain.loss_spans[0].start : plain.loss_spans[0].end] == "hi"
 
 
+def test_chat_that_does_not_come_back_is_an_error(spark, monkeypatch):
+    """With an escape that loses something, no turn vanishes in silence."""
+    monkeypatch.setattr(chat, "escape", lambda text: F.replace(text, F.lit("<|"), F.lit("")))
+    df = spark.createDataFrame([(1, 0, "user", "a <|im_end|> b"), (1, 1, "user", "ok")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="does not come back"):
+        chat.format_chats(df).collect()
+
+
 def hits_by_hand(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
     own, hit, found = words(text), set(), set()
@@ -127,6 +139,12 @@ def test_plain_spans_by_brute_force():
         ("ring +1 four one five five five five one two three four", "phone", "+1 four one five five five five one two three four"),
         ("no four one one one one one one one one one one one one one one one end", "card", "four one one one one one one one one one one one one one one one"),
         ("4111 1111 1111 1l11", "card", "4111 1111 1111 1l11"),
+        ("mail john at example.com now", "email", "john at example.com"),
+        ("e-mail: ann at mail.example.org.", "email", "ann at mail.example.org"),
+        ("ask j.doe at example.com", "email", "j.doe at example.com"),
+        ("on 192 . 168 . 1 . 1 it runs", "ip", "192 . 168 . 1 . 1"),
+        ("j o h n @ example . com", "email", "j o h n @ example . com"),
+        ("to j o h n (at) example.com", "email", "j o h n (at) example.com"),
         ("ip one nine two dot one six eight dot one dot two five", "ip", "one nine two dot one six eight dot one dot two five"),
     ],
 )
@@ -151,11 +169,35 @@ def test_a_lone_disguise_of_any_rule_is_found(text, kind, found):
     assert [(k, text[a:b], plain) for k, a, b, plain in pii.find_spans(text)] == [(kind, found, False)]
 
 
-@pytest.mark.parametrize("text", ["he is at home. The dot is big", "one two three four five", "look at example.com please", "", None, "x" * 100_000, "1" * 50_000, "@" * 5000, "a." * 20_000])
+@pytest.mark.parametrize("text", ["he is at home. The dot is big", "one two three four five", "look at example.com please", "meet at 5 . 6 people came", "me @ home . then we go", "", None, "x" * 100_000, "1" * 50_000, "@" * 5000, "a." * 20_000])
 def test_clean_and_long_texts_have_no_spans(text):
     assert pii.find_spans(text) == []
 
 
+@pytest.mark.parametrize("text", [lambda n: "a (at) b" + " " * n, lambda n: " " * n + "@", lambda n: "one" + " " * n + "x", lambda n: "a " * n, lambda n: "( at" + " " * n, lambda n: "john at " * n, lambda n: "1 . " * n, lambda n: "a @ " * n])
+def test_pii_time_is_linear(text):
+    times = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        pii.find_spans(text(n))
+        times.append(time.process_time() - start)
+    assert times[1] < 8 * 4 * max(times[0], 0.02)
+
+
+def test_pii_query_by_brute_force(spark, sf_dir):
+    """Counts, digest and spans of the query's own rows."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op7_pii(spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        base = sorted(base_by_hand(t), key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        counts = {k: sum(x[0] == k for x in base) for k in pii.KINDS}
+        r = got[i]
+        assert {k: r[f"n_{k}"] for k in pii.KINDS} == counts and r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert set(line.split(",")) - {""} <= set(r.spans.split(","))
+
+
 def test_pii_rows(spark):
     docs = spark.createDataFrame([(1, None, 2), (2, "a@b.cc a@b.cc", 1), (2, "a@b.cc a@b.cc", 1)], "doc_id long, text string, spans int")
     got = [(r.doc_id, [tuple(s) for s in r.spans]) for r in pii.pii_spans(docs).orderBy("doc_id").collect()]
