@@ -1,18 +1,23 @@
 """Toxicity: support vector machine on a gapped-subsequence string kernel with Nystrom landmarks.
 
 A word (white-space separated, letters only, common look-alike digits and signs read as letters, runs of three or more
-single letters joined) is its four-letter subsequences with at most two letters skipped, each skip weighing
-``DECAY``; word bounds count as letters. The kernel of two words is the inner product of these maps over the square
-roots of their total weights, so ``idiiot``, ``i.d.i.o.t`` and ``i d i o t`` stay close to ``idiot``. The machine is
+single letters joined) is its four-letter subsequences with at most two letters skipped, each skip weighing ``DECAY``;
+word bounds count as letters. The kernel of two words is the inner product of these maps, divided by their lengths, so a
+word's kernel with itself is 1, and ``idiiot``, ``i.d.i.o.t`` and ``i d i o t`` stay close to ``idiot``. The machine is
 linear in the Nystrom features ``K(x, L) K(L, L)^-1/2`` of landmark words L.
 
+It is trained on labelled sentences, as a machine of many instances: a harmless text has harmless words only, a toxic one
+has at least one that is not. Which one is not known; it begins as the word whose texts are likeliest toxic, and after
+each training it is the word that the machine finds worst (``ROUNDS`` times). An insult of several words is judged by the
+worst of its words: subsequences do not cross a word.
+
 Because the map is explicit, the trained machine folds into one weight for each subsequence: scoring a text is a table
-look-up for each letter and gap pattern, and the text's score is that of its worst word, through a fitted sigmoid.
+look-up for each letter and gap pattern of its different words, and the text's score is that of its worst word, through a
+fitted sigmoid.
 
-Learning is bounded: at most ``sample`` labelled rows of either label, by hash of the id; the sigmoid is fitted
-on every fourth of them, which the machine has not seen. A word is evidence by the
-number of its different left neighbours in toxic texts, so copies of one text count once. Landmarks are the words with
-the strongest evidence, the commonest harmless ones, and the harmless ones that a first machine finds worst.
+Learning is bounded: at most ``sample`` labelled rows of either label, by hash of the id; the sigmoid is fitted on every
+fourth of them, which the machine has not seen. Landmarks are the commonest of the words held for toxic, the commonest
+harmless ones, and the harmless ones that the last machine found worst.
 
 Defined results: null, empty and letterless texts get the score of no evidence; repeated rows are scored alike; extra
 columns are ignored; if one of the labels has no row the machine is flat and every text scores below 0.5.
@@ -20,7 +25,7 @@ columns are ignored; if one of the labels has no row the machine is flat and eve
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -31,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.codes import ALPHABET, codepoints, tables, text_batches
+from eventloom.llm.shingles import mix
 
 SAMPLE = 3000
 DECAY = 0.75
@@ -41,8 +47,6 @@ LANDMARKS = 320
 HARMLESS = 20_000
 #: Times that the machine is trained again on its worst mistakes.
 ROUNDS = 4
-#: Different left neighbours that make a word evidence, and how much likelier toxic texts must have it.
-EVIDENCE, RATIO = 5, 40.0
 NO_WORD = -3.0
 BOUND = 1
 #: Signs that stand for letters.
@@ -119,21 +123,53 @@ def _occurrences(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, flo
 
 
 def _word_numbers(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word of each position (a leading bound belongs to the word after it) and the norm of each word."""
-    bounds = np.flatnonzero(code == BOUND)
+    """The word of each position (a leading bound belongs to the word after it) and the length of each word's map."""
     number = np.cumsum(code == BOUND) - 1
-    size = np.diff(np.append(bounds, len(code))) + 1  # letters and both bounds
-    weight = sum(np.maximum(0, size - sum(p)) * DECAY ** (2 * (sum(p) - 3)) for p in PATTERNS)
-    return number, np.sqrt(np.maximum(weight, 1e-9))
+    words = int(number[-1]) + 1 if len(number) else 0
+    keys, weights = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    for key, at, weight in _occurrences(code):
+        keys.append(number[at] * SUBSEQUENCES + key)
+        weights.append(np.full(len(at), weight))
+    keys, weights = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    # a subsequence that a word has several times counts by its summed weight
+    sums = np.add.reduceat(weights[order], first) if len(first) else np.zeros(0)
+    squares = np.bincount(keys[first] // SUBSEQUENCES, weights=sums * sums, minlength=words)
+    return number, np.sqrt(np.maximum(squares, 1e-9))
+
+
+_SPREAD, _SPREAD_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def _different(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each different word once, with a bound at the end, and for every word its place among them."""
+    bounds = np.flatnonzero(code == BOUND)
+    starts, ends = bounds[:-1], bounds[1:]
+    if not len(starts):
+        return code, np.zeros(0, dtype=np.int64)
+    steps = np.ones((2, len(code) + 1), dtype=np.uint64)
+    steps[0, 1:], steps[1, 1:] = _SPREAD, _SPREAD_INVERSE
+    power, back = np.cumprod(steps, axis=1, dtype=np.uint64)
+    sums = np.zeros(len(code) + 1, dtype=np.uint64)
+    np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * back[starts] + mix((ends - starts).astype(np.uint64))
+    _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    sizes = (ends - starts)[first]
+    at = np.repeat(starts[first] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    return np.concatenate([code[at], [BOUND]]), place
 
 
 def word_margins(code: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The machine's value of every word, without its bias."""
-    number, norm = _word_numbers(code)
-    total = np.zeros(len(code))
-    for key, at, weight in _occurrences(code):
+    """The machine's value of every word, without its bias; the code ends with a bound, whose own empty word has 0."""
+    own, place = _different(code)
+    number, norm = _word_numbers(own)
+    total = np.zeros(len(own))
+    for key, at, weight in _occurrences(own):
         total[at] += weight * weights[key]
-    return np.bincount(number, weights=total, minlength=len(norm))[: len(norm)] / norm
+    margins = np.bincount(number, weights=total, minlength=len(norm))[: len(norm)] / norm
+    return np.append(margins[:-1][place], 0.0)
 
 
 @dataclass
@@ -256,6 +292,14 @@ def _word_strings(texts: Iterator[str]) -> Iterator[list[str]]:
         yield words
 
 
+#: Letters of the longest words that the machine learns from; scoring takes words of any length.
+LONGEST = 60
+
+
+def _margins_of(model: ToxicityModel, words: list[str], size: int = 20_000) -> np.ndarray:
+    return np.concatenate([word_margins(_encode(words[i : i + size]), model.weights)[:-1] for i in range(0, len(words), size)] or [np.zeros(0)]) + model.bias
+
+
 def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> ToxicityModel:
     """The machine of (text, toxic) rows; totals are the labels' numbers in what the rows were sampled from."""
     totals = totals or {x: sum(label == x for _, label in rows) for x in (0, 1)}
@@ -263,37 +307,40 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> To
     if len({x for _, x in rows}) < 2:
         return FLAT
     number = {0: 0, 1: 0}
-    toxic, harmless = defaultdict(int), defaultdict(int)
+    toxic, harmless, bags = Counter(), Counter(), []
     for words, (_, label) in zip(_word_strings(t for t, _ in rows), rows, strict=True):
         number[label] += 1
-        for w in set(words):
-            (toxic if label else harmless)[w] += 1
-    strong = {w for w, n in toxic.items() if len(w) >= 3 and n / number[1] >= RATIO * (harmless.get(w, 0) + 0.5) / number[0]}
-    del toxic
-    context = defaultdict(set)  # left neighbours, of the words that matter only
-    for words in _word_strings(t for t, label in rows if label):
-        for left, w in zip(["", *words], words, strict=False):
-            if w in strong:
-                context[w].add(left)
-    bad = sorted((w for w in context if len(context[w]) >= EVIDENCE), key=lambda w: (-len(context[w]), w))
-    if not bad:
+        own = sorted({w for w in words if len(w) <= LONGEST})
+        (toxic if label else harmless).update(own)
+        if label:
+            bags.append([w for w in own if len(w) > 2])
+    bags = [b for b in bags if b]
+    if not bags:
         return FLAT
+    # before there is a machine: the log-odds that a text with the word is toxic
+    value = {w: np.log((toxic[w] + 0.5) / (number[1] + 1)) - np.log((harmless.get(w, 0) + 0.5) / (number[0] + 1)) for w in toxic}
+    words = sorted(toxic)
     common = sorted(harmless, key=lambda w: (-harmless[w], w))
-    evidence = np.sqrt(np.array([len(context[w]) for w in bad], dtype=np.float64))
     quarter = LANDMARKS // 4
-    landmarks, good = bad[:quarter] + common[:quarter], common[: HARMLESS // 2]
+    hard, good = [], common[: HARMLESS // 2]
     spread = np.sqrt(np.array([harmless[w] for w in common], dtype=np.float64))
-    # each round trains again with the harmless words that the last machine found worst, as examples and as landmarks
-    for extra in (2 * quarter // ROUNDS,) * ROUNDS + (0,):
+    for last in (False,) * ROUNDS + (True,):
+        # the word that makes each toxic text toxic, as far as is known
+        worst_of = Counter(max(b, key=lambda w: (value[w], w)) for b in bags)
+        bad = sorted(worst_of, key=lambda w: (-worst_of[w], w))
+        landmarks = list(dict.fromkeys(bad[:quarter] + common[:quarter] + hard))
         # a word in many texts weighs more, but not so much that rare words stop to count
+        evidence = np.sqrt(np.array([worst_of[w] for w in bad], dtype=np.float64))
         frequency = np.sqrt(np.array([harmless[w] for w in good], dtype=np.float64))
         model = Landmarks(landmarks).machine(bad, good, evidence, frequency)
-        if extra:
-            margin = np.concatenate([word_margins(_encode(common[i : i + 20_000]), model.weights)[: len(common[i : i + 20_000])] for i in range(0, len(common), 20_000)]) + model.bias
-            worst = np.argsort(-margin, kind="stable")
-            good = list(dict.fromkeys(good + [common[i] for i in worst[: HARMLESS // 2 // ROUNDS]]))
-            harm = np.maximum(0, margin + 0.5) * spread
-            landmarks = list(dict.fromkeys(landmarks + [common[i] for i in np.argsort(-harm, kind="stable")[:extra]]))
+        if last:
+            break
+        value = dict(zip(words, _margins_of(model, words).tolist(), strict=True))
+        # the harmless words that this machine finds worst become examples and landmarks of the next one
+        margin = _margins_of(model, common)
+        good = list(dict.fromkeys(good + [common[i] for i in np.argsort(-margin, kind="stable")[: HARMLESS // 2 // ROUNDS]]))
+        harm = np.maximum(0, margin + 0.5) * spread
+        hard = list(dict.fromkeys(hard + [common[i] for i in np.argsort(-harm, kind="stable")[: 2 * quarter // ROUNDS]]))
     rest = rest if {x for _, x in rest} == {0, 1} else rows
     margin = np.concatenate([text_margins(model, [t for t, _ in rest[i : i + 200]]) for i in range(0, len(rest), 200)])
     slope, offset = _sigmoid(margin, np.array([x for _, x in rest]), totals)
