@@ -49,7 +49,7 @@ SALTED = 2048
 SLICE = 1 << 16
 ORDERS = 2  # the order's number is kept in the lowest bit of keys and nodes
 #: Shingles in one block of a verification task; a task holds two blocks.
-BLOCK = 1_000_000
+BLOCK = 2_000_000
 #: Candidates (48 bytes each) that may be broadcast to read their texts again; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Sets that a task remembers so as not to send their prefixes twice.
@@ -145,24 +145,36 @@ def _salts(classes: np.ndarray, sid: int, salted: int) -> np.ndarray:
     salts = np.zeros(len(classes), dtype=np.int32)
     many = np.flatnonzero(classes >= 8 * math.log2(salted))
     if len(many):
-        number = np.exp2(classes[many] / 8) // salted + 1
+        number = np.minimum(np.exp2(classes[many] / 8) // salted + 1, 2**SALT_BITS - 1)
         salts[many] = 1 + int(mix(np.array([sid & (2**64 - 1)], dtype=_U))[0] >> 1) % number.astype(np.int64)
     return salts
 
 
+#: The bits of a key that hold a salt; a key with one has its sign bit set, and the lowest bit of every key is the order.
+SALT_BITS = 20
+_SALT = ((1 << SALT_BITS) - 1) << 1
+
+
+def _keys(tokens: np.ndarray, salts: np.ndarray, order: int) -> np.ndarray:
+    keys = (tokens & _U(2**63 - 2)) | _U(order)
+    hot = salts > 0
+    keys[hot] = (keys[hot] & ~_U(_SALT)) | (salts[hot].astype(_U) << _U(1)) | _U(1 << 63)
+    return keys
+
+
 def prefix_rows(docs: DataFrame, text: str, k: int, percent: int, counts, salted: int = SALTED) -> DataFrame:
-    """key, salt, n, sid: for every order, the prefix tokens of each set; the key's lowest bit is the order."""
+    """key, n, sid: for every order, the prefix tokens of each set, as keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sent = counts.value, set()
 
-        def flush(keys, salts, sizes, sids, lengths):
+        def flush(keys, sizes, sids, lengths):
             repeat = np.array(lengths)
-            columns = [np.concatenate(keys).view(np.int64), np.concatenate(salts), np.repeat(np.array(sizes, dtype=np.int32), repeat), np.repeat(np.array(sids, dtype=np.int64), repeat)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "salt", "n", "sid"])
+            columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(sizes, dtype=np.int32), repeat), np.repeat(np.array(sids, dtype=np.int64), repeat)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "sid"])
 
         for batch in batches:
-            held, size = ([], [], [], [], []), 0
+            held, size = ([], [], [], []), 0
             for s in shingle_sets(batch.column(0), k):
                 sid = signature(s)
                 if not len(s) or sid in sent:
@@ -172,31 +184,32 @@ def prefix_rows(docs: DataFrame, text: str, k: int, percent: int, counts, salted
                 sent.add(sid)
                 for order in range(ORDERS):
                     tokens = prefix(s, table, order, percent)
-                    for column, value in zip(held, ((tokens & ~_U(1)) | _U(order), _salts(table[_buckets(tokens, len(table))], sid, salted), len(s), sid, len(tokens)), strict=True):
+                    for column, value in zip(held, (_keys(tokens, _salts(table[_buckets(tokens, len(table))], sid, salted), order), len(s), sid, len(tokens)), strict=True):
                         column.append(value)
                     size += len(tokens)
                 if size > 200_000:
                     yield flush(*held)
-                    held, size = ([], [], [], [], []), 0
+                    held, size = ([], [], [], []), 0
             if size:
                 yield flush(*held)
 
-    return docs.select(text).mapInArrow(run, "key long, salt int, n int, sid long")
+    return docs.select(text).mapInArrow(run, "key long, n int, sid long")
 
 
 def chain_edges(rows: DataFrame, percent: int) -> DataFrame:
     """key, a, b: links of sets that share a token and follow each other in length, within a salt and from run to run."""
-    own = Window.partitionBy("key", "salt").orderBy("n", "sid")
+    own = Window.partitionBy("key").orderBy("n", "sid")
     near = lambda m, n: 100 * m >= percent * n
     before, after = F.lag(F.struct("n", "sid")).over(own), F.lead("n").over(own)
     placed = rows.select("*", before.alias("before"), after.alias("after"))
     first = ~F.coalesce(near(F.col("before.n"), F.col("n")), F.lit(False))
     last = ~F.coalesce(near(F.col("n"), F.col("after")), F.lit(False))
-    placed = placed.select("key", "salt", "n", "sid", F.when(~first & (F.col("before.sid") != F.col("sid")), F.col("before.sid")).alias("other"), ((F.col("salt") > 0) & first).alias("first"), ((F.col("salt") > 0) & last).alias("last"))
+    hot, whole = F.col("key") < 0, F.col("key").bitwiseAND(F.lit(~_SALT))
+    placed = placed.select("key", "n", "sid", F.when(~first & (F.col("before.sid") != F.col("sid")), F.col("before.sid")).alias("other"), (hot & first).alias("first"), (hot & last).alias("last"))
     placed = durable(placed.where("other is not null or first or last"))
     # the bounds of the runs of each salt; a run's first row is followed by its last one, unless it is both
     end = F.when(F.col("last"), F.struct("n", "sid")).otherwise(F.lead(F.struct("n", "sid")).over(own))
-    runs = placed.where("first or last").select("key", "n", "sid", "first", end.alias("end")).where("first")
+    runs = placed.where("first or last").select(whole.alias("key"), "n", "sid", "first", end.alias("end")).where("first")
     passed = Window.partitionBy("key").orderBy("n", "sid").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("key", "n", "sid", F.max("end").over(passed).alias("far")).where(near(F.col("far.n"), F.col("n")) & (F.col("far.sid") != F.col("sid")))
     return placed.where("other is not null").select("key", F.col("sid").alias("a"), F.col("other").alias("b")).unionByName(runs.select("key", F.col("sid").alias("a"), F.col("far.sid").alias("b")))
