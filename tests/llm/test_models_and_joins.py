@@ -1,5 +1,6 @@
 """Learned operators on held-out rows, piece coding against the public library, joins against brute force, the pipeline."""
 
+import itertools
 import random
 import re
 import time
@@ -90,6 +91,54 @@ def test_toxicity_edges():
         assert score(f"some {disguised} there") > score("some plain words there") + 0.3, disguised
 
 
+def map_by_hand(word):
+    """The gapped subsequences of a bounded word with their summed weights, by all choices of four places."""
+    code, out = toxicity._encode([word]).tolist(), Counter()
+    for places in itertools.combinations(range(len(code)), 4):
+        skipped = places[3] - places[0] - 3
+        if skipped <= 2:
+            out[tuple(code[p] for p in places)] += toxicity.DECAY**skipped
+    return out
+
+
+def test_string_kernel_by_brute_force():
+    rng = random.Random(2)
+    words = ["idiot", "idiiot", "a", "ab", "aaaaaa", "été", *("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(30))]
+    maps = [map_by_hand(w) for w in words]
+    dot = lambda a, b: sum(v * b[k] for k, v in a.items())
+    want = [[dot(a, b) / np.sqrt(max(dot(a, a), 1e-9) * max(dot(b, b), 1e-9)) for b in maps] for a in maps]
+    got = toxicity.Landmarks(words).kernel(words)
+    assert np.allclose(got, want, atol=1e-5) and np.allclose(np.diag(got)[[0, 1, 4]], 1)
+
+
+def test_folded_machine_equals_the_kernel_expansion():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcde"), rng.integers(1, 8))) for _ in range(300)]
+    marks = toxicity.Landmarks(words[:40])
+    model = marks.machine(words[40:60], words[60:120], np.ones(20), np.ones(60))
+    text = words[100:] + words[:30]
+    folded = toxicity.word_margins(toxicity._encode(text), model.weights)[:-1]
+    one_by_one = [toxicity.word_margins(toxicity._encode([w]), model.weights)[0] for w in text]
+    coefficients = np.linalg.lstsq(marks.table, model.values, rcond=None)[0]
+    assert np.allclose(folded, one_by_one, atol=1e-6) and np.allclose(folded, marks.kernel(text) @ coefficients, atol=1e-3)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Nulls, letterless and repeated rows, clashing columns, empty tables, one label only."""
+    docs = spark.createDataFrame([(i, f"plain words number w{i} here") for i in range(40)] + [(100 + i, f"you grobian there w{i}") for i in range(40)] + [(None, None), (200, "123"), (100, "you grobian there w0")], "doc_id long, text string")
+    docs = docs.withColumns({"l_id": F.lit(1), "label": F.lit("x"), "score": F.lit(2)})
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(40)] + [(None, 1), (7, None)], "doc_id long, toxic int").withColumn("text", F.lit("y"))
+    model = toxicity.learn(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 83 and all(r.predicted == (r.score >= 0.5) for r in got)
+    assert {r.predicted for r in got if r.doc_id is not None and 100 <= r.doc_id < 200} == {1} and {r.predicted for r in got if r.doc_id is None or r.doc_id < 100 or r.doc_id == 200} == {0}
+    as_column = docs.select("doc_id", toxicity.probability(docs, model).alias("p")).collect()
+    assert sorted((r.doc_id or -1, round(r.p, 9)) for r in as_column) == sorted((r.doc_id or -1, round(r.score, 9)) for r in got)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert all(r.predicted == 0 for r in toxicity.score(docs, toxicity.learn(docs, labels.where("toxic = 0"))).collect())
+    assert toxicity.learn(docs.limit(0), labels.limit(0)) is toxicity.FLAT
+
+
 def test_pieces_equal_the_public_library(documents):
     import sentencepiece
 
