@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder: spark.checkpoint.dir where the cluster names one, a temporary one only where it is unset."""
+    """The session's checkpoint folder: spark.checkpoint.dir where the cluster names one. Where it is unset, one machine
+    (a local master) takes a temporary folder; on several that is an error."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if not held.isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[[^-]|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="eventloom-checkpoint-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.functions.durable import durable
+
 Embedder = Callable[[list[str]], np.ndarray]
 Client = Callable[[list[dict], dict], str]
 
@@ -52,6 +54,7 @@ class Registry:
         return self.embedders[name]
 
     def client(self, name: str) -> Callable[[], Client]:
+        """The maker of the client; an unknown name is a KeyError."""
         return self.clients[name]
 
 
@@ -71,6 +74,34 @@ def embed(text: Column, make: Callable[[], Embedder]) -> Column:
     return run(text)
 
 
+def remote_embedder(call: Callable[[str], list[float]], width: int, most: int = 50_000, workers: int = 20, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> Embedder:
+    """An embedder around a service that takes one text: texts cut to ``most`` characters as the service asks, ``workers`` at
+    a time, each tried ``tries`` times; empty texts are zeros, and vectors come back in order of the texts."""
+
+    def one(text: str) -> list[float]:
+        return retry(lambda: call(text[:most]), tries, sleep=sleep) if text else [0.0] * width
+
+    def embed_all(texts: list[str]) -> np.ndarray:
+        with ThreadPoolExecutor(workers) as pool:
+            return np.array(list(pool.map(one, texts)), dtype=np.float32).reshape(len(texts), width)
+
+    return embed_all
+
+
+def embed_cached(rows: DataFrame, text: str, vector: str, make: Callable[[], Embedder], path: str) -> DataFrame:
+    """rows with the vector of each text, read through a table of vectors by digest at ``path``: texts that it lacks are
+    embedded once and added. Null texts have a null vector."""
+    spark, kind = rows.sparkSession, "digest string, vector array<float>"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    known = spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
+    wanted = rows.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("t")).where("t is not null").dropDuplicates(["digest"])
+    new = wanted.join(known.select("digest"), "digest", "left_anti").select("digest", embed(F.col("t"), make).alias("vector"))
+    durable(new).write.mode("append").parquet(path)
+    held = spark.read.schema(kind).parquet(path).dropDuplicates(["digest"]).withColumnRenamed("vector", vector)
+    return rows.withColumn("digest__", F.sha2(text, 256)).join(held, F.col("digest__") == F.col("digest"), "left").drop("digest__", "digest")
+
+
 def embed_distinct(rows: DataFrame, text: str, vector: str, make: Callable[[], Embedder]) -> DataFrame:
     """rows with the vector of each text, every distinct text embedded once."""
     key = F.sha2(text, 256)
@@ -92,7 +123,7 @@ def retry(call: Callable[[], str], tries: int = 5, first: float = 0.5, most: flo
     raise ValueError("tries must be positive")
 
 
-def ask(prompts: DataFrame, prompt: str, answer: str, make: Callable[[], Client], parameters: dict | None = None, workers: int = 10, tries: int = 3, failed: str | None = None, accept: Callable[[str], bool] | None = None) -> DataFrame:
+def ask(prompts: DataFrame, prompt: str, answer: str, make: Callable[[], Client], parameters: dict | None = None, workers: int = 10, tries: int = 3, failed: str | None = None, accept: Callable[[str], bool] | None = None, system: str = "") -> DataFrame:
     """prompts with the model's answers, ``workers`` calls at a time in each task.
 
     An answer that ``accept`` turns down counts as a failure; a call that keeps failing gives ``failed``.
@@ -106,7 +137,8 @@ def ask(prompts: DataFrame, prompt: str, answer: str, make: Callable[[], Client]
         def call(text: str) -> str:
             if not text:
                 raise ValueError("empty prompt")
-            answered = client([{"role": "user", "content": text}], own)
+            told = [{"role": "system", "content": system}] if system else []
+            answered = client([*told, {"role": "user", "content": text}], own)
             if accept and not accept(answered):
                 raise ValueError("an answer that cannot be read")
             return answered

@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.functions.text import strip
+
 EVENT = "struct<title:string,clues:array<string>,associated_numbers:array<struct<value:string,explanation:string>>,actors:array<string>,locations:array<string>,summary:string,description:string,influence:array<string>,confidence:double>"
 
 
 def relation_label(relation: Column, raw: Column) -> Column:
     """The label in lower case from its own column or from the JSON object in raw; null if neither has one."""
-    return F.lower(F.trim(F.coalesce(relation, F.get_json_object(raw, "$.relation"))))
+    return F.lower(strip(F.coalesce(relation, F.get_json_object(raw, "$.relation"))))
 
 
 def first_array(text: str) -> str | None:
@@ -84,9 +86,18 @@ def events_of(text: Column) -> Column:
 VERDICT = "map<string,struct<Winner:string,Explanation:string>>"
 
 
-def verdict_of(text: Column) -> Column:
-    """struct(evaluation, parse_error): the JSON of a judge's answer, or of its outermost braces."""
-    whole = F.from_json(F.when(F.expr("true"), text), VERDICT)
+def message_of(answer: Column) -> Column:
+    """The text of a model's answer: of a JSON object's content, of its first choice's message, of a list's first content,
+    or the answer itself."""
+    paths = ("$.content", "$.choices[0].message.content", "$[0].content")
+    return F.coalesce(*[F.get_json_object(answer, p) for p in paths], answer)
+
+
+def verdict_of(answer: Column) -> Column:
+    """struct(evaluation, parse_error, raw_text): the JSON of a judge's answer in any of its shapes, or of its outermost
+    braces; what cannot be read keeps its text."""
+    text = strip(message_of(answer))
+    whole = F.from_json(text, VERDICT)
     inner = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), VERDICT)
     found = F.coalesce(F.when(F.size(whole) > 0, whole), F.when(F.size(inner) > 0, inner))
-    return F.struct(found.alias("evaluation"), found.isNull().alias("parse_error"))
+    return F.struct(found.alias("evaluation"), found.isNull().alias("parse_error"), F.when(found.isNull(), text).alias("raw_text"))

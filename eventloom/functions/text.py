@@ -14,14 +14,23 @@ from pyspark.sql import functions as F
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
+#: The characters that Unicode counts as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column | str) -> Column:
+    """The text without white space at its ends, whatever white space it is."""
+    return F.trim(F.col(text) if isinstance(text, str) else text, F.lit(WHITE_SPACE))
+
+
 def split_list(text: Column, sep: str = ",") -> Column:
     """Trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(text, sep), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, sep), strip), lambda x: x != "")
 
 
 def join_list(items: Column) -> Column:
     """Parts that are not blank joined by "; ", or "-" if there are none."""
-    kept = F.array_join(F.filter(items, lambda x: x.isNotNull() & (F.trim(x) != "")), "; ")
+    kept = F.array_join(F.filter(items, lambda x: x.isNotNull() & (strip(x) != "")), "; ")
     return F.coalesce(F.when(kept != "", kept), F.lit("-"))
 
 
@@ -51,20 +60,20 @@ def fill(template: str, **values: Column) -> Column:
 
 def star_number(text: Column) -> Column:
     """The number of a trailing *number*, a decimal comma allowed; null if there is none."""
-    found = F.regexp_extract(F.rtrim(text), r"\*([+-]?[0-9]+(?:[.,][0-9]+)?)\*\s*$", 1)
+    found = F.regexp_extract(strip(text), r"\*([+-]?[0-9]+(?:[.,][0-9]+)?)\*\s*$", 1)
     return F.when(found != "", F.replace(found, F.lit(","), F.lit(".")).cast("double"))
 
 
 def truth(value: Column) -> Column:
     """0 or 1 for numbers within 1e-12 of them, also as text or boolean; else null."""
-    number = F.trim(value.cast("string")).try_cast("double") if not isinstance(value, str) else None
+    number = strip(value.cast("string")).try_cast("double") if not isinstance(value, str) else None
     number = F.coalesce(number, F.when(F.lower(value.cast("string")) == "true", 1.0).when(F.lower(value.cast("string")) == "false", 0.0))
     return F.when(F.abs(number) < 1e-12, 0.0).when(F.abs(number - 1) < 1e-12, 1.0)
 
 
 def questions(text: Column) -> Column:
     """The questions of bulleted "Question n: ..." lines, bold marks removed."""
-    return F.transform(F.regexp_extract_all(F.replace(text, F.lit("**"), F.lit("")), F.lit(r"[-*•]\s*Question\s*[0-9]+\s*:\s*([^\n]+)"), 1), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(F.replace(text, F.lit("**"), F.lit("")), F.lit(r"[-*•]\s*Question\s*[0-9]+\s*:\s*([^\n]+)"), 1), strip)
 
 
 def head_tail(text: Column, total: int = 200, skip: int = 1000) -> Column:
@@ -77,7 +86,7 @@ def head_tail(text: Column, total: int = 200, skip: int = 1000) -> Column:
         n = F.size(t)
         head = F.slice(t, F.least(F.lit(skip), n - half) + 1, F.lit(half))
         tail = F.slice(t, F.when(n > half + skip, n - half - skip).otherwise(n - half) + 1, F.lit(half))
-        return F.when(n <= total, F.trim(F.coalesce(text, F.lit("")))).otherwise(F.array_join(F.concat(head, tail), " "))
+        return F.when(n <= total, strip(F.coalesce(text, F.lit("")))).otherwise(F.array_join(F.concat(head, tail), " "))
 
     return F.transform(F.array(tokens), cut)[0]
 

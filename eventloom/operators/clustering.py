@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.durable import durable
 from eventloom.functions.vectors import unit
 
 #: The sweep and the restarts.
@@ -29,14 +30,17 @@ def silhouette_scores(rows: DataFrame, key: str, vector: str, cluster: str, samp
 
 
 def kmeans(rows: DataFrame, vector: str, k: int, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
-    """rows with cluster_id: the best of several k-means runs over unit vectors; rows without a vector drop out."""
+    """rows with cluster_id: the best of several k-means runs over unit vectors; rows without a vector drop out.
+
+    The answer is written, so that what reads it does not embed and assign again.
+    """
     ready = rows.where(F.col(vector).isNotNull()).withColumn("__v", array_to_vector(unit(F.col(vector)))).persist()
     try:
         models = [KMeans(featuresCol="__v", predictionCol="cluster_id", k=k, maxIter=ITERATIONS, seed=seed + i).fit(ready) for i in range(restarts)]
         best = min(models, key=lambda m: m.summary.trainingCost)
+        return durable(best.transform(ready).drop("__v"))
     finally:
         ready.unpersist()
-    return best.transform(ready).drop("__v")
 
 
 def sweep(rows: DataFrame, key: str, vector: str, least: int = LEAST_K, most: int = MOST_K, restarts: int = RESTARTS, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:

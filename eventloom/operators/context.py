@@ -34,7 +34,7 @@ def relation_lists(relations: DataFrame, top: DataFrame) -> DataFrame:
     """id, outgoing, incoming: relations (pos, source_id, target_id, label) of the top events in order of pos."""
     shown = F.format_string("(%d -> %d: %s)", "source_id", "target_id", F.coalesce("label", F.lit("none")))
     known = relations.where("source_id is not null and target_id is not null").select("pos", "source_id", "target_id", shown.alias("t"))
-    ids = F.broadcast(top.select("id"))
+    ids = top.select("id")  # Spark broadcasts the few top events
 
     def side(name: str, alias: str) -> DataFrame:
         own = known.withColumnRenamed(name, "id").join(ids, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("x"))

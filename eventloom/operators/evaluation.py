@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.text import truth
+from eventloom.functions.text import strip, truth
 
 #: The categories of a judgment and the names under which they are reported.
 CATEGORIES = {"Comprehensiveness": "Comprehensiveness", "Diversity": "Diversity", "Empowerment": "Empowerment", "Overall Winner": "Overall"}
@@ -16,14 +16,14 @@ def align(a: DataFrame, b: DataFrame) -> DataFrame:
     """query, answer_a, answer_b of the queries (trimmed) that both have, in order; a repeated query is an error."""
 
     def once(side: DataFrame, name: str) -> DataFrame:
-        counted = side.groupBy(F.trim("query").alias("query")).agg(F.min("answer").alias(name), F.count("*").alias("n"))
+        counted = side.groupBy(strip("query").alias("query")).agg(F.min("answer").alias(name), F.count("*").alias("n"))
         return counted.where(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated query: "), F.col("query"))).cast("boolean")).otherwise(True)).drop("n")
 
     return once(a, "answer_a").join(once(b, "answer_b"), "query").orderBy("query")
 
 
 def winner(evaluation: Column, category: str) -> Column:
-    return F.coalesce(F.trim(evaluation[category]["Winner"]), F.lit(""))
+    return F.coalesce(strip(evaluation[category]["Winner"]), F.lit(""))
 
 
 def tally(rows: DataFrame, evaluation: str = "evaluation") -> DataFrame:

@@ -8,25 +8,39 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.stemming import STEMMERS, language_of
 from eventloom.functions.text import split_list, stop_words
 
 TOP, LIMIT = 30, 50
 
 
-def tfidf(rows: DataFrame, keys: list[str], tokens: Column, corpus: list[str] | None = None, min_df: int = 2, top: int | None = TOP) -> DataFrame:
+#: Terms that count, the most frequent ones of a corpus.
+MOST_TERMS = 200_000
+
+
+def tfidf(rows: DataFrame, keys: list[str], tokens: Column, corpus: list[str] | None = None, min_df: int = 2, top: int | None = TOP, stops: tuple[str, ...] = (), most: int | None = MOST_TERMS) -> DataFrame:
     """keys, term, weight (unit length per row set), rank: the strongest terms of each text.
 
     idf is ln((1 + n) / (1 + df)) + 1 over the texts that share the ``corpus`` columns (all texts if there are none).
     Term counts aggregate before they are shuffled; document frequencies join back by term, so a frequent term costs rows
-    of counts, never a gathered list.
+    of counts, never a gathered list. ``stops`` are no terms; of the terms in at least ``min_df`` texts the ``most`` frequent
+    ones count. Null and wordless texts have no terms, but count as texts.
     """
     corpus = corpus or []
-    one = rows.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    words = F.filter(tokens, lambda t: ~t.isin(*stops)) if stops else tokens
+    one = rows.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     n = rows.groupBy(*corpus).agg(F.count("*").alias("n")) if corpus else rows.agg(F.count("*").alias("n"))
-    df = one.groupBy(*corpus, "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    df = one.groupBy(*corpus, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where(F.col("df") >= min_df)
+    if most and corpus:
+        place = F.row_number().over(Window.partitionBy(*corpus).orderBy(F.desc("all"), "term"))
+        df = df.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    elif most:
+        df = df.orderBy(F.desc("all"), "term").limit(most)
+    df = df.drop("all")
     df = df.join(n, corpus) if corpus else df.crossJoin(F.broadcast(n))
     weighed = one.join(df, [*corpus, "term"]).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     whole = Window.partitionBy(*keys)
@@ -35,6 +49,44 @@ def tfidf(rows: DataFrame, keys: list[str], tokens: Column, corpus: list[str] |
     return (ranked.where(F.col("rank") <= top) if top else ranked).select(*keys, "term", "weight", "rank")
 
 
+def english_stops() -> tuple[str, ...]:
+    """English stop words of the Spark distribution."""
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+_TOKEN = re.compile(r"\w+(?:-\w+)*")
+
+
+def stems(text: Column, language: Callable[[str], str] = language_of) -> Column:
+    """Array of the stems of a text's words: lower case, letters only, without the stop words of its language, in order.
+    Words of one letter, which are no terms, are left out; null and wordless texts have none."""
+    stops = {name: frozenset(StopWordsRemover.loadDefaultStopWords(name)) for name in STEMMERS}
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def of(x: str | None) -> list[str]:
+            if not x:
+                return []
+            name = language(x)
+            return [s for w in _TOKEN.findall(x.lower()) if w.isalpha() and w not in stops[name] and len(s := STEMMERS[name](w)) > 1]
+
+        for batch in batches:
+            yield batch.map(of)
+
+    return run(text)
+
+
+def with_entities(text: Column, words: Column, entities: Callable[[str], list[str]]) -> Column:
+    """The text's entities, then the words, repeats left out, the first of equals kept."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda x: list(entities(x)) if x else [])
+
+    return F.array_distinct(F.concat(run(text), words))
+
+
 def keyword_text(entities: Column, keywords: Column, reverse: bool = True) -> Column:
     """Entities, then keywords (least important first, unless told otherwise), repeats left out, joined by ", "."""
     return F.array_join(F.array_distinct(F.concat(entities, F.reverse(keywords) if reverse else keywords)), ", ")

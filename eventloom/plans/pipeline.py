@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from eventloom.functions.text import embed_clean, fill
 from eventloom.functions.vectors import mean_pool
 from eventloom.operators import chunking, clustering, context, graph, keywords, selection, sentences
 from eventloom.sources.catalog import Catalog
-from eventloom.sources.readers import prompt
+from eventloom.sources.readers import call_log, prompt
 
 #: Answers where there is nothing to answer from, or the model fails.
 NO_CONTEXT = "No events available."
@@ -32,6 +33,9 @@ class Settings:
     least_chars: int = chunking.MIN_CHARS
     mode: str = "line"
     selection: selection.Settings = field(default_factory=selection.Settings)
+    entities: Callable[[str], list[str]] | None = models.capital_entities  # named before the keywords; None for none
+    log_calls: bool = False  # prompts and answers kept in the catalog's folder
+    cache_vectors: bool = False  # vectors of keyword texts kept in the catalog's folder
 
 
 class EventLoom:
@@ -49,13 +53,15 @@ class EventLoom:
         rows = sentences.context_windows(sentences.sentences(docs, s.mode))
         rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where("n > 1").drop("n")
         if s.keyword_method == "tfidf":
-            tokens = F.regexp_extract_all(F.lower("combined"), F.lit("[a-zà-ÿ]{2,}"), 0)
-            terms = keywords.tfidf(rows.select("doc_id", "idx", "combined"), ["doc_id", "idx"], tokens, corpus=["doc_id"])
+            tokens = keywords.stems(F.col("combined"))
+            terms = keywords.tfidf(rows.select("doc_id", "idx", "combined"), ["doc_id", "idx"], tokens, corpus=["doc_id"], stops=keywords.english_stops())
             words = terms.groupBy("doc_id", "idx").agg(F.reverse(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x.term)).alias("keywords"))
             rows = rows.join(words, ["doc_id", "idx"], "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+            if s.entities:
+                rows = rows.withColumn("keywords", keywords.with_entities(F.col("combined"), F.col("keywords"), s.entities))
         else:
-            rows = rows.withColumn("keywords", keywords.text_keywords(F.col("combined"), s.keyword_method))
-        rows = rows.withColumn("embedding", models.embed(embed_clean(F.array_join("keywords", ", ")), self.embedder))
+            rows = rows.withColumn("keywords", keywords.text_keywords(F.col("combined"), s.keyword_method, s.entities if s.keyword_method == "yake" else None))
+        rows = self._embedded(rows.withColumn("cleaned", embed_clean(F.array_join("keywords", ", ")))).drop("cleaned")
         rows = durable(chunking.breakpoints(chunking.consecutive_distance(rows, "doc_id", "idx", "embedding"), "doc_id", s.percent))
         per_doc = rows.groupBy("doc_id").agg(
             F.sort_array(F.collect_list(F.struct("idx", "start", (F.col("start") + F.length("sentence")).alias("end")))).alias("s"),
@@ -72,6 +78,19 @@ class EventLoom:
         merged = chunking.merge_short(chunking.chunks(rows), least=s.least_chars)
         return merged.join(words, ["doc_id", "chunk_idx"], "left").join(vectors, ["doc_id", "chunk_idx"], "left")
 
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        """rows with the vector of their cleaned text, every different text embedded once."""
+        if self.settings.cache_vectors:
+            return models.embed_cached(rows, "cleaned", "embedding", self.embedder, self.catalog.path(f"vectors_{self.settings.embedder}"))
+        return models.embed_distinct(rows, "cleaned", "embedding", self.embedder)
+
+    def _ask(self, prompts: DataFrame, answer: str, parameters: dict, workers: int, **how) -> DataFrame:
+        told = models.ask(prompts, "prompt", answer, self.client, parameters, workers, **how)
+        if self.settings.log_calls:
+            told = durable(told)  # asked once, read by the log and by the caller
+            call_log(told.select("prompt", F.col(answer).alias("answer")), self.catalog.path("calls"))
+        return told
+
     def insert(self, texts: DataFrame) -> DataFrame:
         """Adds the documents of a text column and their chunks; known documents add nothing. Returns all chunks."""
         docs = durable(self.catalog.upsert_documents(texts))
@@ -82,14 +101,17 @@ class EventLoom:
         held = self.catalog.table("chunks").where("embedding is not null")
         clustered, self.silhouettes = clustering.sweep(held, "chunk_id", "embedding")
         asked = self.spark.range(1).select(F.lit(0).cast("long").alias("query_id"), models.embed(embed_clean(F.lit(query)), self.embedder).alias("query_vector"))
-        rows = durable(selection.relevance(clustered, durable(asked)))
-        chosen = selection.select(rows, selection.cluster_quotas(rows, self.settings.selection), self.settings.selection)
+        rows = durable(selection.scored(clustered, durable(asked), self.settings.selection))
+        quotas = durable(selection.cluster_quotas(rows, self.settings.selection))
+        chosen = durable(selection.select(rows, quotas, self.settings.selection))
+        #: sizes, quotas, picks and the reason to stop, by cluster
+        self.diagnostics = selection.diagnostics(chosen, quotas)
         return chosen.join(held.select("chunk_id", "doc_id", "from_idx", "to_idx", "text"), "chunk_id")
 
     def extract_events(self, chosen: DataFrame, query: str) -> DataFrame:
         """Events of the chosen chunks, numbered from 1 by pick and place in the answer."""
         asked = chosen.withColumn("prompt", fill(prompt("events"), query=F.lit(query), text=F.col("text")))
-        told = models.ask(asked, "prompt", "answer", self.client, {"max_new_tokens": 3000}, self.settings.workers, accept=parsing.is_readable)
+        told = self._ask(asked, "answer", {"max_new_tokens": 3000}, self.settings.workers, accept=parsing.is_readable)
         parts = told.withColumn("a", parsing.answer_parts(F.col("answer")))
         found = parts.select("pick", "chunk_id", "cluster_id", "from_idx", "to_idx", F.col("a.thoughts").alias("thoughts"), F.posexplode(parsing.events_of(F.col("a.json"))).alias("at", "e"))
         number = F.row_number().over(Window.orderBy("pick", "at"))  # tens of events
@@ -104,7 +126,7 @@ class EventLoom:
         best = graph.top_pairs(self.pairs)
         said = events.select("id", F.to_json(F.struct("title", "summary", "influence")).alias("j"))
         both = best.join(said.select(F.col("id").alias("i"), F.col("j").alias("s")), "i").join(said.select(F.col("id").alias("j"), F.col("j").alias("t")), "j")
-        told = models.ask(both.withColumn("prompt", fill(prompt("relation"), source=F.col("s"), target=F.col("t"))), "prompt", "relation_raw", self.client, {"max_new_tokens": 3000}, self.settings.workers, tries=1)
+        told = self._ask(both.withColumn("prompt", fill(prompt("relation"), source=F.col("s"), target=F.col("t"))), "relation_raw", {"max_new_tokens": 3000}, self.settings.workers, tries=1)
         pos = F.row_number().over(Window.orderBy(F.col("similarity").desc(), "i", "j"))
         return told.select(pos.alias("pos"), F.col("i").alias("source_id"), F.col("j").alias("target_id"), "similarity", "relation_raw", parsing.relation_label(F.lit(None).cast("string"), F.col("relation_raw")).alias("label"))
 
@@ -126,9 +148,9 @@ class EventLoom:
         top = durable(context.top_events(events, scores))
         self.context = context.context(context.cards(top, context.relation_lists(relations, top))).first()[0]
         asked = self.spark.range(1).select(fill(prompt("answer"), query=F.lit(query), retrieval_context=F.lit(self.context)).alias("prompt"))
-        return models.ask(asked, "prompt", "answer", self.client, {"max_new_tokens": 2000}, 1, tries=1, failed=FAILED).first()["answer"]
+        return self._ask(asked, "answer", {"max_new_tokens": 2000}, 1, tries=1, failed=FAILED).first()["answer"]
 
     def predict(self, query: str, background: str = "") -> str:
         """The model's forecast; the background is empty unless it is given, say as ``context`` of a retrieval."""
         asked = self.spark.range(1).select(fill(prompt("forecast"), query=F.lit(query), background=F.lit(background)).alias("prompt"))
-        return models.ask(asked, "prompt", "answer", self.client, {"max_new_tokens": 2000}, 1, tries=1, failed=FORECAST_FAILED).first()["answer"]
+        return self._ask(asked, "answer", {"max_new_tokens": 2000}, 1, tries=1, failed=FORECAST_FAILED).first()["answer"]

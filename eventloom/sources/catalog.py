@@ -6,7 +6,7 @@ run learns later (relations, ratings) goes to tables of its own, keyed by run_id
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,21 +43,14 @@ class Catalog:
     def _append(self, name: str, rows: DataFrame) -> None:
         rows.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(SCHEMAS[name])]).write.mode("append").parquet(self.path(name))
 
-    def _numbered(self, name: str, key: str, rows: DataFrame, order: list[str]) -> DataFrame:
-        """rows with the next ids of the table, in order; numbers come from counts of ranges, not from one sorted task."""
-        last = self.table(name).agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-        ordered = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
-        sizes = ordered.groupBy("__p").agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        within = F.row_number().over(Window.partitionBy("__p").orderBy("__i"))
-        numbered = ordered.withColumn("__n", within).join(F.broadcast(sizes.withColumn("__b", before)), "__p")
-        return numbered.withColumn(key, F.lit(last) + F.col("__b") + F.col("__n")).drop("__p", "__i", "__n", "__b", "n")
+    def _after(self, name: str, key: str) -> int:
+        return self.table(name).agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
 
     def upsert_documents(self, docs: DataFrame) -> DataFrame:
         """doc_id, sha256, text of the given texts; one document for equal texts, known ones keep their id."""
-        given = docs.where("text is not null").select(F.sha2("text", 256).alias("sha256"), "text").dropDuplicates(["sha256"])
-        new = given.join(self.table("documents").select("sha256"), "sha256", "left_anti")
-        self._append("documents", self._numbered("documents", "doc_id", new, ["sha256"]))
+        given = distinct_documents(docs)
+        new = unknown(given, self.table("documents"), F.col("sha256"))
+        self._append("documents", numbered(new, "doc_id", ["sha256"], self._after("documents", "doc_id")))
         return self.table("documents").join(given.select("sha256"), "sha256", "left_semi")
 
     def insert_chunks(self, chunks: DataFrame) -> DataFrame:
@@ -65,17 +58,13 @@ class Catalog:
         for name, kind in (("keywords", "array<string>"), ("embedding", "array<float>")):
             if name not in chunks.columns:
                 chunks = chunks.withColumn(name, F.lit(None).cast(kind))
-        first = Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id", "chunk_idx")
-        new = chunks.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
-        known = self.table("chunks").select(F.sha2("text", 256).alias("__k"))
-        new = new.withColumn("__k", F.sha2("text", 256)).join(known, "__k", "left_anti").drop("__k")
-        self._append("chunks", self._numbered("chunks", "chunk_id", new, ["doc_id", "chunk_idx"]))
+        new = unknown(first_of_equal_texts(chunks, ["doc_id", "chunk_idx"]), self.table("chunks"), F.sha2("text", 256))
+        self._append("chunks", numbered(new, "chunk_id", ["doc_id", "chunk_idx"], self._after("chunks", "chunk_id")))
         return self.table("chunks")
 
     def chunks(self, limit: int | None = None, offset: int | None = None) -> DataFrame:
         """Chunks in order of id; an offset without a limit is ignored."""
-        rows = self.table("chunks").orderBy("chunk_id")
-        return rows if limit is None else rows.offset(offset or 0).limit(limit)
+        return page(self.table("chunks"), "chunk_id", limit, offset)
 
     def document_text(self, doc_id: int) -> str | None:
         row = self.table("documents").where(F.col("doc_id") == doc_id).select("text").first()
@@ -98,12 +87,51 @@ class Catalog:
         What does not parse is an empty array. No run gives no row.
         """
         runs = self.table("runs")
-        newest = (runs.where(F.col("query") == query) if query else runs).orderBy(F.col("retrieved_at").desc(), F.col("run_id").desc()).limit(1)
+        found = newest(runs.where(F.col("query") == query) if query else runs, [], "retrieved_at", "run_id")
         for name in ("relations", "ratings"):
             last = self.table(name).groupBy("run_id").agg(F.max_by(name, "written_at").alias(name))
-            newest = newest.join(last, "run_id", "left")
-        read = lambda name, kind: F.coalesce(F.from_json(F.col(name), f"array<{kind}>"), F.array().cast(f"array<{kind}>")).alias(name)
-        return newest.select("run_id", "query", "retrieved_at", read("events", EVENT.replace("struct<", "struct<id:long,", 1)), read("relations", RELATION), read("ratings", RATING))
+            found = found.join(last, "run_id", "left")
+        return found.select("run_id", "query", "retrieved_at", listed("events", EVENT.replace("struct<", "struct<id:long,", 1)), listed("relations", RELATION), listed("ratings", RATING))
+
+
+def listed(name: str, kind: str) -> Column:
+    """The array in a JSON column; what is null or does not parse is an empty one."""
+    return F.coalesce(F.from_json(F.col(name), f"array<{kind}>"), F.array().cast(f"array<{kind}>")).alias(name)
+
+
+def newest(runs: DataFrame, per: list[str], at: str, key: str) -> DataFrame:
+    """The row of the latest time of all, or of each group; of equal times the greatest key. No rows give none."""
+    if not per:
+        return runs.orderBy(F.col(at).desc(), F.col(key).desc()).limit(1)
+    best = runs.groupBy(*per).agg(F.max(F.struct(at, key, *[c for c in runs.columns if c not in (*per, at, key)])).alias("m"))
+    return best.select(*per, *[F.col(f"m.{c}").alias(c) for c in runs.columns if c not in per])
+
+
+def page(rows: DataFrame, key: str, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """Rows in order of the key, ``limit`` of them after the first ``offset``; an offset without a limit is ignored."""
+    ordered = rows.orderBy(key)
+    return ordered if limit is None else ordered.offset(offset or 0).limit(limit)
+
+
+def distinct_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """sha256, text of every different text; copies aggregate before they are shuffled, nulls drop out."""
+    given = docs.select(F.col(text).alias("text")).where("text is not null").select(F.sha2("text", 256).alias("sha256"), "text")
+    return given.dropDuplicates(["sha256"])
+
+
+def unknown(given: DataFrame, known: DataFrame, digest: Column) -> DataFrame:
+    """Rows whose digest no known row has."""
+    return given.withColumn("__k", digest).join(known.select(digest.alias("__k")), "__k", "left_anti").drop("__k")
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], after: int = 0) -> DataFrame:
+    """rows with the numbers after ``after``, in order; numbers come from counts of ranges, not from one sorted task."""
+    ordered = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
+    sizes = ordered.groupBy("__p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy("__i"))
+    out = ordered.withColumn("__n", within).join(F.broadcast(sizes.withColumn("__b", before)), "__p")  # a row for each range
+    return out.withColumn(key, F.lit(after) + F.col("__b") + F.col("__n")).drop("__p", "__i", "__n", "__b", "n")
 
 
 def first_of_equal_texts(chunks: DataFrame, order: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from importlib import resources
 
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.functions.durable import durable
+from eventloom.functions.text import strip
+
 #: Fields of an object that hold its list of rows.
 LIST_FIELDS = ("data", "items", "examples", "records")
 ANSWER_SCHEMA = "query string, answer string"
@@ -22,12 +26,13 @@ def json_rows(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame:
     An empty list gives an empty frame.
     """
     raw = spark.read.text(path, wholetext=True)
-    frame = _shaped(spark, raw)
+    frame = shaped(spark, raw)
     return frame.limit(max_rows) if max_rows > 0 else frame
 
 
-def _shaped(spark: SparkSession, raw: DataFrame) -> DataFrame:
-    value = F.trim("value")
+def shaped(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """The rows of the JSON value in the one row of ``value``."""
+    value = strip("value")
     kinds = raw.select(F.left(value, F.lit(1)).alias("head"), F.json_object_keys("value").alias("keys"), F.json_array_length("value").alias("n")).first()
     if kinds is None:
         return spark.createDataFrame([], "value string")
@@ -86,7 +91,7 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
 
 def lines(spark: SparkSession, path: str, comments: bool = False) -> DataFrame:
     """Trimmed lines that are not blank, in order of the file; ``comments`` also drops lines that begin with #."""
-    rows = spark.read.text(path).select(F.trim("value").alias("query")).where("query <> ''")
+    rows = spark.read.text(path).select(strip("value").alias("query")).where("query <> ''")
     return rows.where(~F.startswith("query", F.lit("#"))) if comments else rows
 
 
@@ -104,15 +109,18 @@ SEPARATOR = "\n\n---\n\n"
 
 def articles_corpus(items):
     """One text of an array of (title, text): trimmed parts, blank ones left out; null gives an empty text."""
-    one = lambda a: F.array_join(F.filter(F.array(F.trim(F.coalesce(a.title, F.lit(""))), F.trim(F.coalesce(a.text, F.lit("")))), lambda x: x != ""), "\n\n")
+    one = lambda a: F.array_join(F.filter(F.array(strip(F.coalesce(a.title, F.lit(""))), strip(F.coalesce(a.text, F.lit("")))), lambda x: x != ""), "\n\n")
     return F.coalesce(F.array_join(F.filter(F.transform(items, one), lambda x: x != ""), SEPARATOR), F.lit(""))
 
 
-def joined(rows: DataFrame, text: str, order: list[str], key: list[str] | None = None, sep: str = " ") -> DataFrame:
-    """One text for each key, parts in a stated order."""
+def joined(rows: DataFrame, text: str, order: list[str], key: list[str], sep: str = " ") -> DataFrame:
+    """One text for each key, parts in a stated order; null parts are left out. A key's text is one string, so a key is
+    needed: the whole table is never one."""
+    if not key:
+        raise ValueError("a key is needed")
     parts = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("__t"))))
-    made = rows.groupBy(*(key or [])).agg(parts.alias("p"))
-    return made.select(*(key or []), F.array_join(F.col("p.__t"), sep).alias("text"))
+    made = rows.groupBy(*key).agg(parts.alias("p"))
+    return made.select(*key, F.array_join(F.col("p.__t"), sep).alias("text"))
 
 
 def answers_path(path: str) -> str:
@@ -120,11 +128,56 @@ def answers_path(path: str) -> str:
     return path if path.endswith(".json") and not os.path.isdir(path) else os.path.join(path, "answers.json")
 
 
+def _path(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """The text as a file, written beside it and then renamed, so that a reader sees the old one or the new one."""
+    files, target = _path(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    files.delete(target, False)
+    if not files.rename(beside, target):
+        raise OSError(f"could not rename {path}.tmp")
+
+
+def resume_answers(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
+    """Answers in one JSON array: those of the file stay, of new ones (query, answer) each query's first is added in order of
+    query. A file that cannot be read is begun anew. The array is one file by contract, for the questions of an evaluation."""
+    files, target = _path(spark, path)
+    known: list[tuple[str, str]] = []
+    if files.exists(target):
+        held = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+        try:
+            known = [(r["query"], r["answer"]) for r in json.loads(held) if isinstance(r, dict) and "query" in r and "answer" in r]
+        except (ValueError, TypeError):
+            known = []
+    done = {q for q, _ in known}
+    added = new.groupBy("query").agg(F.min("answer").alias("answer")).orderBy("query").collect()
+    known += [(r.query, r.answer) for r in added if r.query not in done]
+    _replace_text(spark, path, json.dumps([{"query": q, "answer": a} for q, a in known], ensure_ascii=False, indent=2))
+    return spark.createDataFrame(known, ANSWER_SCHEMA)
+
+
+def write_queries(questions: list[str], spark: SparkSession, folder: str, name: str) -> str:
+    """Questions, one a line, in <name>_queries.txt; no questions give an empty file. Returns its path."""
+    path = f"{folder.rstrip('/')}/{name}_queries.txt"
+    _replace_text(spark, path, "".join(q + "\n" for q in questions))
+    return path
+
+
 def append_answers(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
     """Answers of queries that path (a Parquet folder) has none for are added; all answers are returned."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     known = spark.read.schema(ANSWER_SCHEMA).parquet(path) if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else spark.createDataFrame([], ANSWER_SCHEMA)
-    new.join(known.select("query"), "query", "left_anti").select("query", "answer").write.mode("append").parquet(path)
+    once = new.groupBy("query").agg(F.min("answer").alias("answer"))
+    durable(once.join(known.select("query"), "query", "left_anti").select("query", "answer")).write.mode("append").parquet(path)
     return spark.read.schema(ANSWER_SCHEMA).parquet(path)
 
 
@@ -152,6 +205,12 @@ def call_log(calls: DataFrame, path: str) -> None:
     calls.select(F.current_timestamp().alias("at"), "prompt", "answer").write.mode("append").parquet(path)
 
 
+def call_count(spark: SparkSession, path: str) -> int:
+    """Calls in the log; none before the first."""
+    files, target = _path(spark, path)
+    return spark.read.parquet(path).count() if files.exists(target) else 0
+
+
 def plot_data(kind: str, frame: DataFrame) -> DataFrame:
     """The data of a plot: silhouette (k, score, is_best), pairs (i, j, similarity; must be square), distances (idx,
     distance_to_next, is_break) or boundaries (idx)."""

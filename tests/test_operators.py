@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import unicodedata
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from eventloom.functions import models, parsing, text, vectors
+from eventloom.functions import models, parsing, stemming, text, vectors
 from eventloom.operators import chunking, context, evaluation, graph, keywords, selection, sentences
 
 
@@ -124,6 +125,13 @@ def test_text_functions(spark):
     assert one(spark, text.embed_clean(F.lit("The Café’s 12 cats, und Übung!"))) == unicodedata.normalize("NFKD", "café’s cats übung")
 
 
+def test_white_space_of_every_kind_is_stripped(spark):
+    for x in ("\t a \u00a0b\u3000\x1f", "\n\u2028", "", "x"):
+        assert one(spark, text.strip(F.lit(x))) == x.strip()
+    assert all(c.isspace() for c in text.WHITE_SPACE) and len(text.WHITE_SPACE) == sum(chr(c).isspace() for c in range(0x110000))
+    assert one(spark, text.questions(F.lit("- Question 1:\u00a0why\t\n"))) == ["why"]
+
+
 def test_head_tail(spark):
     words = [f"w{i}" for i in range(3000)]
     assert one(spark, text.head_tail(F.lit(" ".join(words)))).split() == words[1000:1100] + words[1900:2000]
@@ -144,11 +152,33 @@ def test_events_and_verdicts(spark):
     events = one(spark, parsing.events_of(F.lit('{"events": [{"title": "t", "influence": ["i"], "confidence": 0.5}]}')))
     assert events[0].title == "t" and events[0].influence == ["i"]
     assert one(spark, parsing.verdict_of(F.lit('so: {"Diversity": {"Winner": "Answer 1", "Explanation": "e"}} end'))).evaluation["Diversity"].Winner == "Answer 1"
-    assert one(spark, parsing.verdict_of(F.lit("no"))).parse_error is True
+    assert one(spark, parsing.verdict_of(F.lit("no"))).parse_error is True and one(spark, parsing.verdict_of(F.lit("no "))).raw_text == "no"
+    inner = '{"Diversity": {"Winner": "Answer 2", "Explanation": "e"}}'
+    for shape in ({"content": inner}, {"choices": [{"message": {"content": inner}}]}, [{"content": inner}]):
+        assert one(spark, parsing.verdict_of(F.lit(json.dumps(shape)))).evaluation["Diversity"].Winner == "Answer 2"
     assert one(spark, parsing.relation_label(F.lit(None).cast("string"), F.lit('{"relation": " Causal "}'))) == "causal"
     assert one(spark, parsing.relation_label(F.lit(None).cast("string"), F.lit("```{}```"))) is None
 
 
+def test_stems():
+    english = {"consign": "consign", "consistency": "consist", "knightly": "knight", "generously": "generous", "happy": "happi", "relational": "relat", "hopping": "hop", "hoping": "hope", "cries": "cri", "ties": "tie", "agreed": "agre", "skies": "sky", "goodness": "good", "gas": "gas", "activation": "activ"}
+    assert {w: stemming.english(w) for w in english} == english
+    german = {"aufeinanderfolge": "aufeinanderfolg", "kategorien": "kategori", "häuser": "haus", "verantwortungen": "verantwort", "arbeitest": "arbeit", "ergebnisse": "ergebnis"}
+    assert {w: stemming.german(w) for w in german} == german
+    assert stemming.language_of("Über uns") == "german" and stemming.language_of("about us") == "english"
+
+
+def test_terms_stems_and_entities(spark):
+    rows = spark.createDataFrame([(1, "The dogs were running, well-known Dogs 42"), (2, "Häuser und Straßen"), (3, None)], "k long, t string")
+    got = {r.k: r.s for r in rows.select("k", keywords.stems(F.col("t")).alias("s")).collect()}
+    assert got == {1: ["dog", "run", "dog"], 2: ["haus", "strass"], 3: []}
+    made = spark.createDataFrame([("Ada met Bob", ["met", "Ada"]), (None, ["x"])], "t string, w array<string>")
+    assert [r[0] for r in made.select(keywords.with_entities(F.col("t"), F.col("w"), models.capital_entities)).collect()] == [["Ada", "Bob", "met"], ["x"]]
+    docs = spark.createDataFrame([(i, ["the", "a", "b"] if i % 2 else ["a", "c"]) for i in range(6)], "k long, w array<string>")
+    terms = lambda **how: {r.term for r in keywords.tfidf(docs, ["k"], F.col("w"), **how).collect()}
+    assert terms() == {"the", "a", "b", "c"} and terms(stops=("the",)) == {"a", "b", "c"} and terms(stops=("the",), most=2) == {"a", "b"} and terms(most=1) == {"a"}
+
+
 def test_keyword_lists(spark):
     rows = spark.createDataFrame([(1, 0, ["A", "b"]), (1, 1, ["a", "c", "d"]), (2, 0, [])], "k long, idx int, words array<string>")
     assert keywords.interleave(rows, "k", "idx", "words").first().keywords == ["A", "b", "c", "d"]
@@ -159,21 +189,27 @@ def test_keyword_lists(spark):
         keywords.text_keywords(F.col("x"), "textrank")
 
 
-def pick_by_hand(vectors_, sim, cluster, quota, s):
-    picks, near = [], [0.0] * len(sim)
+def pick_by_hand(vectors_, sim, cluster, quota, s, doc=None):
+    """The rule: the best allowed candidate is held against every stop, its own similarity against the floor, then picked."""
+    picks, near, doc = [], [0.0] * len(sim), doc or list(range(len(sim)))
     while len(picks) < min(s.most, len(sim)):
         used = [i for i, _ in picks]
-        ok = [i for i in range(len(sim)) if i not in used and sum(cluster[j] == cluster[i] for j in used) < quota.get(cluster[i], 0)]
+        taken = lambda i: sum(cluster[j] == cluster[i] for j in used)
+        ok = [i for i in range(len(sim)) if i not in used and (s.soft_quotas or taken(i) < quota.get(cluster[i], 0))]
+        if s.per_doc_max is not None:
+            ok = [i for i in ok if sum(doc[j] == doc[i] for j in used) < s.per_doc_max]
         if not ok:
             return picks, "quota_exhausted"
-        gain = {i: s.lam * sim[i] - (1 - s.lam) * near[i] for i in ok}
+        gain = {i: s.lam * sim[i] - (1 - s.lam) * near[i] - (s.overflow_penalty * max(0, taken(i) + 1 - quota.get(cluster[i], 0)) if s.soft_quotas else 0) for i in ok}
         best = max(ok, key=lambda i: (gain[i], -i))
         if len(picks) >= s.fewest:
             if np.mean([g for _, g in picks[-3:]]) <= s.gain_drop * abs(picks[0][1]):
                 return picks, "gain_drop"
             if gain[best] <= s.min_gain:
                 return picks, "min_gain"
-            if max(sim[i] for i in ok) <= np.quantile([sim[i] for i in ok], 0.7):
+            if gain[best] <= 0 and s.stop_negative:
+                return picks, "negative"
+            if sim[best] <= np.quantile([sim[i] for i in ok], s.floor_quantile):
                 return picks, "sim_floor"
         picks.append((best, gain[best]))
         near = [max(near[i], float(vectors_[i] @ vectors_[best])) for i in range(len(sim))]
@@ -181,14 +217,33 @@ def pick_by_hand(vectors_, sim, cluster, quota, s):
 
 
 def test_greedy_picks():
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        v = rng.normal(size=(40, 8)) + 1
+    rng, reasons = np.random.default_rng(1), set()
+    for i in range(60):
+        v = rng.normal(size=(40, 8)) + (1 if i % 2 else 0.2)
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         sim, cluster, quota = v @ v[0], rng.integers(0, 4, 40), {0: 9, 1: 3, 2: 8, 3: 8}
-        s = selection.Settings(min_n=4, max_n=15)
-        got, want = selection.pick(v, sim, cluster, np.arange(40), quota, s), pick_by_hand(v, sim, cluster.tolist(), quota, s)
+        s = selection.Settings(min_n=4, max_n=15, soft_quotas=i % 3 == 0, per_doc_max=2 if i % 5 == 0 else None, floor_quantile=0.7 if i % 4 else 0.0)
+        doc = rng.integers(0, 12, 40)
+        got, want = selection.pick(v, sim, cluster, doc, quota, s), pick_by_hand(v, sim, cluster.tolist(), quota, s, doc.tolist())
         assert [i for i, _ in got[0]] == [i for i, _ in want[0]] and got[1] == want[1]
+        reasons.add(got[1])
+    assert {"sim_floor", "max_n"} <= reasons
+
+
+def test_normalised_similarity_comes_before_quotas(spark):
+    rng = np.random.default_rng(4)
+    chunks = spark.createDataFrame([(i, int(i % 3), rng.normal(size=6).tolist() if i else None) for i in range(31)], "chunk_id long, cluster_id int, embedding array<double>")
+    asked = spark.createDataFrame([(7, rng.normal(size=6).tolist())], "query_id long, query_vector array<double>")
+    plain = {r.chunk_id: r.similarity for r in selection.scored(chunks, asked).collect()}
+    raw = np.array(list(plain.values()))
+    z = {r.chunk_id: r.similarity for r in selection.scored(chunks, asked, selection.Settings(zscore=True)).collect()}
+    assert len(plain) == 30 and z == {i: pytest.approx((x - raw.mean()) / (raw.std() + 1e-6)) for i, x in plain.items()}
+    assert selection.scored(chunks, asked.limit(0)).count() == 0
+    rows = selection.scored(chunks, asked, selection.Settings(zscore=True))
+    quotas = selection.cluster_quotas(rows)
+    chosen = selection.select(rows, quotas)
+    found = selection.diagnostics(chosen, quotas).collect()
+    assert sum(r.picked for r in found) == chosen.count() and all(r.picked <= r.quota for r in found)
 
 
 def test_quotas_add_up(spark):
@@ -211,6 +266,9 @@ def test_edges_and_rank(spark):
     got = {x.id: x for x in graph.ratings(made, nodes).collect()}
     assert [got[i + 1].pagerank for i in range(4)] == pytest.approx((r / r.sum()).tolist(), abs=1e-5)
     assert got[1].outgoing_bonus == 1.0 and got[1].score == pytest.approx(0.7 * got[1].pagerank + 0.3)
+    spread = {x.id: x.pagerank for x in graph.pagerank(made, nodes, few=0).collect()}
+    assert spread == {i: pytest.approx(got[i].pagerank, abs=1e-5) for i in spread} and len(spread) == 4
+    assert [r.id for r in graph.ratings(made, nodes).collect()] == sorted(got, key=lambda i: (-got[i].score, i))
     assert graph.pagerank(made, nodes.limit(0)).count() == 0
 
 
@@ -218,6 +276,9 @@ def test_candidate_pairs_without_influence_are_zero(spark):
     s = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "event long, vector array<double>")
     i = spark.createDataFrame([(2, [1.0, 0.0]), (2, [0.0, 1.0])], "event long, vector array<double>")
     assert [(r.i, r.j, r.similarity) for r in graph.top_pairs(graph.candidate_pairs(s, i)).collect()] == [(1, 2, 1.0), (2, 1, 0.0)]
+    with pytest.raises(ValueError):
+        graph.candidate_pairs(s, i, most=1)
+    assert graph.candidate_pairs(s.limit(0), i).count() == 0
 
 
 def test_missing_ids_come_from_positions(spark):
@@ -268,6 +329,16 @@ def test_models(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "i int, t string")
     got = {r.i: r.v for r in models.embed_distinct(rows, "t", "v", models.hashing_embedder).collect()}
     assert got[1] == got[3] and len(got[1]) == 64 and got[2] is None
+    tries = []
+
+    def service(x):
+        tries.append(x)
+        if len(tries) == 1:
+            raise OSError
+        return [float(len(x)), 1.0]
+
+    made = models.remote_embedder(service, 2, most=3, workers=1, sleep=lambda _: None)
+    assert made(["abcdef", "", "x"]).tolist() == [[3.0, 1.0], [0.0, 0.0], [1.0, 1.0]] and tries == ["abc", "abc", "x"]
     told = models.ask(rows, "t", "answer", lambda: lambda m, p: m[0]["content"].upper(), failed="failed", tries=1)
     assert {r.i: r.answer for r in told.collect()} == {1: "A B", 2: "failed", 3: "A B"}
     chat = spark.createDataFrame([([("system", "s"), ("tool", "x"), ("assistant", "y")],)], "m array<struct<role:string,content:string>>")

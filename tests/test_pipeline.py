@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import models
+from eventloom.functions.durable import checkpoint_dir
 from eventloom.operators import evaluation
+from eventloom.plans import evaluation as flows
 from eventloom.plans.pipeline import NO_EVENTS, EventLoom, Settings
 from eventloom.sources import catalog, readers
 from eventloom.streaming.ingest import ingest
@@ -112,7 +114,17 @@ def test_sinks(spark, tmp_path):
     path = str(tmp_path / "answers")
     new = lambda *rows: spark.createDataFrame(list(rows), "query string, answer string")
     assert readers.append_answers(spark, new(("a", "1")), path).count() == 1
-    assert sorted(tuple(r) for r in readers.append_answers(spark, new(("a", "2"), ("b", "3")), path).collect()) == [("a", "1"), ("b", "3")]
+    assert sorted(tuple(r) for r in readers.append_answers(spark, new(("a", "2"), ("b", "3"), ("b", "4")), path).collect()) == [("a", "1"), ("b", "3")]
+    one_file = str(tmp_path / "answers.json")
+    assert [tuple(r) for r in readers.resume_answers(spark, new(("b", "1")), one_file).collect()] == [("b", "1")]
+    readers.resume_answers(spark, new(("b", "2"), ("a", "ü")), one_file)
+    assert json.loads((tmp_path / "answers.json").read_text()) == [{"query": "b", "answer": "1"}, {"query": "a", "answer": "ü"}]
+    (tmp_path / ".answers.json.crc").unlink()
+    (tmp_path / "answers.json").write_text("{broken")
+    assert readers.resume_answers(spark, new(("c", "3")), one_file).count() == 1 and readers.answers(spark, one_file).count() == 1
+    assert readers.write_queries(["q 1", "q 2"], spark, str(tmp_path), "d") == f"{tmp_path}/d_queries.txt" and (tmp_path / "d_queries.txt").read_text() == "q 1\nq 2\n"
+    with pytest.raises(ValueError):
+        readers.joined(new(("a", "1")), "answer", ["query"], [])
     assert readers.answers_path("x/y.json") == "x/y.json" and readers.answers_path("x") == "x/answers.json"
     items = spark.createDataFrame([("q", {"Diversity": ("Answer 1", "")})], "query string, evaluation map<string,struct<Winner:string,Explanation:string>>")
     out = json.loads(readers.judgment_json(items, evaluation.tally(items), "d", "x", "y").first()[0])
@@ -126,3 +138,67 @@ def test_sinks(spark, tmp_path):
 def test_first_of_equal_texts(spark):
     rows = spark.createDataFrame([(2, 0, "x"), (1, 5, "x"), (1, 6, "y")], "doc_id long, chunk_idx int, text string")
     assert sorted(tuple(r) for r in catalog.first_of_equal_texts(rows, ["doc_id", "chunk_idx"]).collect()) == [(1, 5, "x"), (1, 6, "y")]
+
+
+def test_vectors_are_read_through_a_table(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b"), (4, "c")], "i int, t string")
+    first = {r.i: r.v for r in models.embed_cached(rows, "t", "v", models.hashing_embedder, str(tmp_path / "v")).collect()}
+    assert first[1] == first[3] and first[2] is None and spark.read.parquet(str(tmp_path / "v")).count() == 2
+    broken = lambda: lambda texts: (_ for _ in ()).throw(ValueError("asked again"))
+    again = {r.i: r.v for r in models.embed_cached(rows, "t", "v", broken, str(tmp_path / "v")).collect()}
+    assert again == first
+
+
+def test_calls_are_logged_and_counted(spark, tmp_path):
+    it = loom(spark, tmp_path, log_calls=True, cache_vectors=True)
+    it.insert(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
+    log = it.catalog.path("calls")
+    assert readers.call_count(spark, log) == 0
+    it.retrieve("floods in towns")
+    assert readers.call_count(spark, log) >= 3 and spark.read.parquet(log).where("answer is null").count() == 0
+    assert {r.stop_reason for r in it.diagnostics.collect()} <= {"max_n", "quota_exhausted", "gain_drop", "min_gain", "negative", "sim_floor"}
+
+
+def judging_client():
+    def answer(message, parameters):
+        said = message[-1]["content"]
+        if "kinds of users" in said:
+            return "- User 1\n  - Task 1\n    - **Question 1**: What rains?\n    - Question 2: Who pays? \n"
+        if "broken" in said:
+            raise OSError("no service")
+        if "odd" in said:
+            return "I cannot say"
+        return json.dumps({"content": json.dumps({k: {"Winner": "Answer 1", "Explanation": message[0]["role"]} for k in ("Comprehensiveness", "Diversity", "Empowerment", "Overall Winner")})})
+
+    return lambda: answer
+
+
+def test_questions_and_judgments(spark, tmp_path):
+    contexts = spark.createDataFrame([(1, "rain and floods"), (2, None), (3, " "), (4, "banks")], "i int, context string")
+    assert flows.description(contexts, ["i"]).first()[0] == "rain and floods\n\nbanks"
+    assert flows.generate_questions(contexts, ["i"], judging_client(), str(tmp_path), "d") == ["What rains?", "Who pays?"]
+    assert (tmp_path / "d_queries.txt").read_text() == "What rains?\nWho pays?\n"
+    assert flows.generate_questions(contexts.limit(0), ["i"], judging_client(), str(tmp_path), "e") == [] and (tmp_path / "e_queries.txt").read_text() == ""
+    side = lambda *q: spark.createDataFrame([(x, f"about {x}") for x in q], "query string, answer string")
+    found = {r.query: r for r in flows.judge(side("q", "odd", "broken"), side("broken", " q\t", "odd", "z"), judging_client()).collect()}
+    assert set(found) == {"q", "odd", "broken"} and found["q"].evaluation["Diversity"].Explanation == "system"
+    assert found["odd"].parse_error and found["odd"].raw_text == "I cannot say" and found["broken"].error and found["broken"].evaluation is None
+    tally = {r.category: r for r in flows.compare(spark, "d", "x", side("q", "odd"), "y", side("q", "odd"), judging_client(), str(tmp_path)).collect()}
+    assert (tally["Overall"].first, tally["Overall"].second) == (1, 0)
+    assert json.loads((tmp_path / "d__x_vs_y.json").read_text())["final_eval"]["Diversity"]["total"] == 1
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        sparkContext, conf = Context, type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    class Nothing:
+        isDefined = staticmethod(lambda: False)
+
+    monkeypatch.setattr(Context, "_jsc", type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: Nothing)}))}))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session)

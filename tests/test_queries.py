@@ -1,5 +1,9 @@
+import random
+
+import pandas as pd
 import pytest
 
+from eventloom.operators import sentences
 from eventloom.plans import catalogue
 
 
@@ -15,11 +19,22 @@ def test_entry_has_rows(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["chunk_merge", "sentence_spans", "paragraph_spans", "embed_clean", "rake_keywords", "yake_keywords", "mmr_select", "pagerank_converged"])
+@pytest.mark.parametrize("name", ["sentence_spans", "paragraph_spans", "embed_clean", "rake_keywords", "yake_keywords"])
 def test_other_queries_give_rows(name, spark, sf_dir):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_sentence_sql_splits_dialogue(spark, duck, tmp_path):
+    """The SQL of the line mode against the operator's own split on made texts."""
+    rng = random.Random(9)
+    bits = ['He said "No." ', "Then left. ", "(Why?) ", "\t", "\n", "\r\n", "…", "e.g.", "»Ja!« ", "Plain words", "\u00a0", "!", "'Go!']] on", "\u3000x", "."]
+    texts = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    want = sorted((i, n, s) for i, t in texts for n, (s, _) in enumerate(sentences.split_sentences(t)))
+    duck.register("made", pd.DataFrame(texts, columns=["doc_id", "text"]))
+    got = duck.execute(catalogue.ORACLE_SQL["sentence_lines"].replace("FROM documents", "FROM made")).fetchall()
+    assert sorted((i, n, s) for i, n, s in got) == want
+
+
 def test_sentence_queries_split_dialogue(spark, tmp_path):
     """Quote-ended sentences within a line and lines of tabs, by a split of our own."""
     texts = {1: 'He said "Go." Then he left.\nA plain line. It stays whole.', 2: "\t\nFirst line here\r\n\t \n\tSecond line here\t", 3: None}
