@@ -132,8 +132,8 @@ SELECT doc_id, first AS chunk_idx, first AS from_idx, last AS to_idx, length(t)
 def snapped_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of an order as sentences, their quantities as lengths; ends of some lines, moved a little, as ends of
     paragraphs; discounted lines as breaks."""
-    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 6).cast("int").alias("size"), (F.col("l_partkey") % 61 - 30).cast("int").alias("off"), (F.col("l_suppkey") % 2 == 0).alias("ends"), (F.col("l_discount") > 0.045).alias("cut"))
-    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_quantity") * 6).cast("int").alias("size"), (F.col("l_partkey") % 61 - 30).cast("int").alias("off"), (F.col("l_suppkey") % 2 == 0).alias("ends"), (F.col("l_discount") > 0.045).alias("cut"))
+    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = lines.withColumns({"e": F.sum("size").over(before).cast("int"), "i": F.row_number().over(before) - 1})
     placed = placed.withColumns({"s": F.col("e") - F.col("size"), "p": F.col("e") + F.col("off")})
     held = placed.groupBy("l_orderkey").agg(
@@ -145,7 +145,7 @@ def snapped_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SNAPPED_SQL = """WITH l AS (SELECT l_orderkey, (l_quantity * 6)::INT AS size, (l_partkey % 61 - 30)::INT AS off, l_suppkey % 2 = 0 AS ends, l_discount > 0.045 AS cut, l_linenumber,
-  (sum((l_quantity * 6)::INT) OVER w)::INT AS e, (row_number() OVER w - 1)::INT AS i FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+  (sum((l_quantity * 6)::INT) OVER w)::INT AS e, (row_number() OVER w - 1)::INT AS i FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 h AS (SELECT l_orderkey, list(e ORDER BY e) AS e, list(e - size ORDER BY e - size) AS s, list_sort(coalesce(list(DISTINCT greatest(1, e + CASE WHEN ends THEN off END)) FILTER (ends), [])) AS p, coalesce(list(i ORDER BY i) FILTER (cut), []) AS b FROM l GROUP BY l_orderkey),
 r AS (SELECT *, unnest(b) AS i FROM h),
 a AS (SELECT *, s[i + 2] AS pos, len(p) - 1 AS last FROM r),
@@ -155,7 +155,7 @@ g AS (SELECT *, coalesce(here > pos AND here <= pos + least(400, floor(n * 0.6):
 t AS (SELECT *, CASE WHEN near THEN here WHEN q < last AND there > pos AND there <= pos + least(400, floor(m * 0.6)::INT) AND (n < 120 OR NOT near) THEN there END AS target FROM g),
 u AS (SELECT *, greatest(0, least(len(s) - 2, len(list_filter(e, lambda x: x < target)) - 1)) AS new FROM t),
 v AS (SELECT l_orderkey, CASE WHEN len(p) = 0 OR target IS NULL OR i + 1 >= len(s) OR least(last, len(list_filter(p, lambda x: x < e[new + 1]))) < least(last, len(list_filter(p, lambda x: x < e[i + 1]))) THEN i ELSE new END AS k FROM u)
-SELECT l_orderkey, coalesce(string_agg(DISTINCT k::VARCHAR, ',' ORDER BY k::VARCHAR), '') AS breaks FROM h LEFT JOIN v USING (l_orderkey) GROUP BY l_orderkey"""
+SELECT l_orderkey, coalesce(array_to_string(list_sort(list(DISTINCT k) FILTER (k IS NOT NULL)), ','), '') AS breaks FROM h LEFT JOIN v USING (l_orderkey) GROUP BY l_orderkey"""
 
 
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
