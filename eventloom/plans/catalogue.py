@@ -498,7 +498,7 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON columns of a run: good, broken and missing ones."""
     raw = F.when(F.col("event_id") % 3 == 0, F.format_string('[{"id": %d, "score": 0.5}, {"id": 2}]', "event_id")).when(F.col("event_id") % 3 == 1, "[{")
     rows = _t(spark, sf_dir, "events").select("event_id", raw.alias("ratings"))
-    return rows.select("event_id", catalog.listed("ratings", catalog.RATING)).select("event_id", F.size("ratings").alias("n"), F.get("ratings", F.lit(0))["id"].alias("first_id"))
+    return rows.select("event_id", catalog.listed("ratings", catalog.RATING)).select("event_id", F.size("ratings").alias("n"), F.coalesce(F.get("ratings", F.lit(0))["id"], F.lit(-1)).cast("long").alias("first_id"))
 
 
 def relation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,7 +507,7 @@ def relation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda n: F.when(key % n == 0, key)
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", side(2).alias("source_id"), side(3).alias("target_id"), (key % 40).alias("_source_idx"), (key % 30).alias("_target_idx"))
     events = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), (F.col("n_nationkey") + 100).alias("id"))
-    return graph.with_ids(rows, events).select("o_orderkey", "source_id", "target_id")
+    return graph.with_ids(rows, events).select("o_orderkey", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("source_id", "target_id")])
 
 
 def answer_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,7 +525,7 @@ def events_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.concat(F.lit('{"title": "'), F.col("event_type"), F.lit('", "influence": ["x", "y"], "confidence": 0.5}'))
     said = F.when(key % 4 == 0, F.concat(F.lit("["), one, F.lit(", "), one, F.lit("]"))).when(key % 4 == 1, F.concat(F.lit('{"events": ['), one, F.lit("]}"))).when(key % 4 == 2, "nothing")
     found = _t(spark, sf_dir, "events").select("event_id", parsing.events_of(said).alias("e"))
-    return found.select("event_id", F.when(F.size("e") >= 0, F.size("e")).alias("n"), F.get("e", F.lit(0))["title"].alias("title"))
+    return found.select("event_id", F.coalesce(F.when(F.size("e") >= 0, F.size("e")), F.lit(-1)).alias("n"), F.get("e", F.lit(0))["title"].alias("title"))
 
 
 def verdict_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -665,10 +665,10 @@ ORACLE_SQL: dict[str, str] = {
     "context_cards": _CARDS_SQL,
     "relation_label_parse": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE lower(event_type) END AS label, (props ->> 'k')::BIGINT AS k FROM events",
     "latest_run": "SELECT event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
-    "run_results": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END::INT AS n, CASE WHEN event_id % 3 = 0 THEN event_id END AS first_id FROM events",
-    "relation_ids": "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END, a.n_nationkey + 100)::BIGINT AS source_id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END, b.n_nationkey + 100)::BIGINT AS target_id FROM orders LEFT JOIN nation a ON a.n_nationkey = o_orderkey % 40 LEFT JOIN nation b ON b.n_nationkey = o_orderkey % 30",
+    "run_results": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END::INT AS n, CASE WHEN event_id % 3 = 0 THEN event_id ELSE -1 END AS first_id FROM events",
+    "relation_ids": "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END, a.n_nationkey + 100, -1)::BIGINT AS source_id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END, b.n_nationkey + 100, -1)::BIGINT AS target_id FROM orders LEFT JOIN nation a ON a.n_nationkey = o_orderkey % 40 LEFT JOIN nation b ON b.n_nationkey = o_orderkey % 30",
     "answer_split": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'None' WHEN 1 THEN trim('on ' || coalesce(source, '')) END AS thoughts, CASE doc_id % 6 WHEN 0 THEN '[]' WHEN 1 THEN '[1, ' || doc_id || ']' WHEN 2 THEN '[' || doc_id || ']' WHEN 3 THEN '[' || doc_id || ']' WHEN 4 THEN '[' || doc_id || ', [2]]' END AS json FROM documents",
-    "events_parse": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 END::INT AS n, CASE WHEN event_id % 4 < 2 THEN event_type END AS title FROM events",
+    "events_parse": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE -1 END::INT AS n, CASE WHEN event_id % 4 < 2 THEN event_type END AS title FROM events",
     "verdict_shapes": "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '' WHEN toxic = 1 THEN 'Answer 1' ELSE 'Answer 2' END AS winner, doc_id % 5 = 4 AS parse_error, CASE WHEN doc_id % 5 = 4 THEN 'none of Answer ' || CASE WHEN toxic = 1 THEN 1 ELSE 2 END END AS raw_text FROM labels",
     "prompt_fill": "SELECT doc_id, md5('Q: ' || coalesce(text, '') || ' (' || doc_id || ') $ $other') AS digest FROM documents",
     "entity_keywords": "SELECT doc_id, concat_ws(', ', source, 'Paris', 'k2', 'k') AS keywords FROM documents",
