@@ -8,7 +8,9 @@ document must have enough words around it (length bound), and the words there ar
 
 Documents are read three times (rarity, join, word counts) and never shuffled whole: only counts of benchmark shingles,
 verified hits and one row of counts for each document move. The benchmark side is broadcast when its measured bytes
-stay under ``broadcast_bytes``; beyond that, shingles travel with the few words around them and Spark joins by shuffle.
+stay under ``broadcast_bytes``; beyond that, document shingles are first held against a bitmap of the rarest shingles
+(2**26 bits, 8 MB, broadcast at any size of the benchmark), and those that pass travel with the few words around them
+and are joined by shuffle.
 
 Defined results: null or wordless texts and items have no words and no hits; repeated rows are judged alike; rows that
 share an id but not a text are judged separately; item ids of repeated items count once. Only the id and text columns
@@ -54,12 +56,27 @@ def _document_shingles(words: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("sh", _shingle(F.col("words"), F.col("pos"), k))
 
 
+#: Bits of the bitmap of shingles.
+BITS = 26
+
+
+def _may_be_in(rows: DataFrame, rarest: DataFrame) -> DataFrame:
+    """rows whose bit of ``sh`` is set by some row of ``rarest``: all that have a partner, and few others."""
+    place = F.pmod("sh", F.lit(1 << BITS)) + 1
+    bits = rarest.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    both = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("bucket"))
+    at = F.bitmap_bit_position(place)
+    octet = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return both.where(octet.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0).drop("bucket", "bits")
+
+
 def find_windows(docs: DataFrame, items: DataFrame, broadcast_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Verified occurrences: doc_id, thash, start (word position from 0), wlen, item_id."""
     spark = docs.sparkSession
     windows = item_windows(items)
     words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("thash"), plain_words(F.col(text)).alias("words"))
-    held = windows.agg(F.sum(F.length(F.array_join("wwords", " ")) + 64), F.collect_set("k")).first()
+    # octets of the words, the arrays' offsets and headers
+    held = windows.agg(F.sum(F.octet_length(F.array_join("wwords", " ")) + 16 * F.col("wlen") + 96), F.collect_set("k")).first()
     small = (held[0] or 0) <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
     found = []
@@ -84,6 +101,7 @@ def find_windows(docs: DataFrame, items: DataFrame, broadcast_bytes: int = 64 <<
             hits = at.join(F.broadcast(rarest), (at.sh == rarest.sh) & bound & same)
         else:
             first = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
+            at = _may_be_in(at, rarest)
             at = at.select("doc_id", "thash", "pos", "sh", F.size("words").alias("n"), first.alias("from"), F.slice("words", first + 1, 2 * WINDOW).alias("near"))
             same = F.slice("near", F.col("pos") - F.col("off") - F.col("from") + 1, F.col("wlen")) == F.col("wwords")
             hits = at.join(rarest, (at.sh == rarest.sh) & bound & same)
