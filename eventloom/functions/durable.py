@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return held.get()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written as a Parquet table in the checkpoint folder and read from it.
+
+    For loops that join again and again: a checkpoint keeps the estimates of the plan before it, which joins multiply, and a
+    table has the sizes of its files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the checkpoint folder; a lost executor does not lose it."""
     checkpoint_dir(df.sparkSession)
