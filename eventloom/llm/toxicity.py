@@ -296,7 +296,7 @@ def _word_strings(texts: Iterator[str]) -> Iterator[list[str]]:
 LONGEST = 60
 
 
-def _margins_of(model: ToxicityModel, words: list[str], size: int = 20_000) -> np.ndarray:
+def _margins_of(model: ToxicityModel, words: list[str], size: int = 5_000) -> np.ndarray:
     return np.concatenate([word_margins(_encode(words[i : i + size]), model.weights)[:-1] for i in range(0, len(words), size)] or [np.zeros(0)]) + model.bias
 
 
