@@ -5,7 +5,8 @@ of the merge kind, whose encoding is not the best sum of piece scores but the re
 encoding is a path all of whose neighbouring pieces are *compatible* (merging their joined text gives just these two).
 So the pass scores a step 0 if the pieces are compatible and minus infinity if not: each bound then has one surviving
 last piece and back pointer. The window holds the bounds that a later piece can still reach, the longest piece at most;
-whenever the back pointers of all of them meet at one bound, the ids before it are committed and forgotten.
+whenever the back pointers of all of them meet at one bound, the ids before it are committed and forgotten. A text that
+fits into the window is followed back from its end, and only bounds that a path from there asks for are worked out.
 
 No piece of the vocabulary continues past a word (a blank is written at the head of a word), which ``PieceCoder``
 verifies; so all paths meet at the head of every word, as between any two characters that no piece holds side by side,
@@ -35,8 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Words kept for look-up in a worker, and the longest of them.
 CACHE, LONGEST = 220_000, 64
-#: Pairs of pieces, and beginnings of words up to so many characters, that are kept, too.
-PAIRS, BEGINNINGS, BEGINNING = 300_000, 200_000, 16
+#: Pairs of pieces, and beginnings of words with their last piece, that are kept, too.
+PAIRS, BEGINNINGS = 300_000, 200_000
 
 
 @dataclass
@@ -80,9 +81,7 @@ class PieceCoder:
         self.beginnings: dict[str, str] = {}
         # pieces that merging their own characters gives, and single characters that only longer pieces hold
         standing = {*(p for p in self.ids if self.merged(p) == [p]), *self.letters}
-        # every end of such a piece, with the piece if it is one itself
-        self.tails = {p[i:]: "" for p in standing for i in range(len(p))}
-        self.tails.update({p: p for p in standing})
+        self.ends = _ends(standing)
         self.bytes_of = _Bytes(self)
         self.after_blank, self.plain = _Words(self, BLANK), _Words(self, "")
         self.text_of = [BLANK if i in v.special else p for i, p in enumerate(v.pieces)]
@@ -116,45 +115,64 @@ class PieceCoder:
             known = self.pair[a, b] = self.merged(a + b) == [a, b]
         return known
 
+    def ending(self, text: str) -> tuple[str, ...]:
+        """Pieces that the text ends with, the longest first; none if its last character is in no piece."""
+        node = self.ends
+        for c in reversed(text):
+            further = node.get(c)
+            if further is None:
+                break
+            node = further
+        return node.get("", ())
+
+    def last_piece(self, text: str) -> str:
+        """The surviving last piece at the end of a text that fits into the window; it depends on nothing after it, so
+        those of beginnings are kept."""
+        known_last, letters, pair = self.beginnings, self.letters, self.pair
+        for piece in self.ending(text):
+            head = text[: -len(piece)]
+            if not head:
+                return piece
+            before = known_last.get(head)
+            if before is None:
+                before = known_last[head] = self.last_piece(head)
+            if before[-1] not in letters:
+                return piece
+            known = pair.get((before, piece))
+            if self.compatible(before, piece) if known is None else known:
+                return piece
+        return text[-1]
+
+    def word_bytes(self, text: str) -> bytes:
+        """The ids of a text as bytes: back from its end if it fits into the window, streamed if not."""
+        if len(text) > 2 * self.longest:
+            return b"".join(map(self.bytes_of.__getitem__, self.stream(text)))
+        known_last = self.beginnings
+        if len(known_last) > BEGINNINGS:
+            known_last.clear()
+        out = b""
+        while text:
+            piece = known_last.get(text) if out else self.last_piece(text)
+            if piece is None:
+                piece = known_last[text] = self.last_piece(text)
+            out = self.bytes_of[piece] + out
+            text = text[: -len(piece)]
+        return out
+
     def stream(self, text: str) -> Iterator[str]:
         """The pieces of a text of any length, committed as soon as all surviving paths agree on them."""
         base = 0  # the first bound in the window; everything before is committed
         last: list[str] = [""]  # the surviving last piece at each bound of the window
-        tails, letters, longest, pair, compatible = self.tails, self.letters, self.longest, self.pair, self.compatible
-        # the surviving piece at a bound depends on nothing after it, so beginnings that came before are looked up
-        known_last = self.beginnings
-        if len(known_last) > BEGINNINGS:
-            known_last.clear()
+        letters, longest, compatible = self.letters, self.longest, self.compatible
         for i in range(1, len(text) + 1):
-            if i <= BEGINNING:
-                head = text[:i]
-                chosen = known_last.get(head)
-                if chosen is not None:
-                    last.append(chosen)
-                    continue
-            chosen = c = text[i - 1]
-            if c in letters:
-                # pieces that end here, found from the shortest to the longest, tried from the longest
-                ends = []
-                for start in range(i - 1, base - 1, -1):
-                    piece = tails.get(text[start:i])
-                    if piece is None:
-                        break
-                    if piece:
-                        ends.append(piece)
-                for piece in reversed(ends):
-                    before = last[i - len(piece) - base]
-                    if not before or before[-1] not in letters:
-                        chosen = piece
-                        break
-                    known = pair.get((before, piece))
-                    if compatible(before, piece) if known is None else known:
-                        chosen = piece
-                        break
+            chosen = text[i - 1]
+            for piece in self.ending(text[max(base, i - longest) : i]):
+                before = last[i - len(piece) - base]
+                if not before or before[-1] not in letters or compatible(before, piece):
+                    chosen = piece
+                    break
             last.append(chosen)
-            if i <= BEGINNING:
-                known_last[head] = chosen
-            elif len(last) > 2 * longest:
+            if len(last) > 2 * longest:
                 # bounds that a later piece can begin at, each followed back until they meet
                 alive = set(range(len(last) - longest, len(last)))
                 while len(alive) > 1:
@@ -230,6 +248,24 @@ class PieceCoder:
         return text[1:] if text[:1] == " " else text
 
 
+def _ends(pieces: set[str]) -> dict:
+    """A tree of the pieces read from their last character back; "" holds the pieces met on the way, the longest first."""
+    root: dict = {}
+    for piece in sorted(pieces, key=len):
+        node = root
+        for c in reversed(piece):
+            node = node.setdefault(c, {})
+        node[""] = (piece,)
+    waiting = [(root, ())]
+    while waiting:
+        node, met = waiting.pop()
+        met = node.get("", ()) + met
+        if met:
+            node[""] = met
+        waiting += [(further, met) for c, further in node.items() if c]
+    return root
+
+
 class _Bytes(dict):
     """Ids of pieces as bytes; byte pieces for characters outside the vocabulary."""
 
@@ -254,18 +290,20 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         coder = self.coder
-        known = self.older.get(word)
-        if known is not None:
-            return self.keep(word, known)
-        if not word.isalpha():
+        plain = word.isalpha()
+        if not plain:
             core = word.rstrip(".,;:!?")
             if core and len(core) < len(word) and word[len(core) - 1 : len(core) + 1] not in coder.neighbours:
                 return self[core] + coder.plain[word[len(core) :]]
+        known = self.older.get(word)
+        if known is not None:
+            return self.keep(word, known)
+        if not plain:
             cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in coder.neighbours]
             if cuts:
                 found = self[word[: cuts[0]]] + b"".join([coder.plain[word[i:j]] for i, j in zip(cuts, [*cuts[1:], len(word)], strict=True)])
                 return self.keep(word, found)
-        return self.keep(word, b"".join(map(coder.bytes_of.__getitem__, coder.stream(self.head + word))))
+        return self.keep(word, coder.word_bytes(self.head + word))
 
     def keep(self, word: str, found: bytes) -> bytes:
         if len(word) <= LONGEST:

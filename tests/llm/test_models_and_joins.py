@@ -158,6 +158,22 @@ def test_long_stretches_stream_through_the_window():
     assert list(coder.stream(text)) == coder.merged(text)
 
 
+def test_words_work_out_few_bounds():
+    """Texts of every length about the window, streamed, followed back and merged; a word leaves most of its bounds out."""
+    coder = pieces.PieceCoder(pieces.load())
+    rng = random.Random(11)
+    for n in [*range(1, 40), 64, 65]:
+        for signs in ("abcdefghijklmnopqrstuvwxyz", "thenrio", "aé日\ue000."):
+            text = "▁" + "".join(rng.choice(signs) for _ in range(n))
+            want = coder.merged(text)
+            assert list(coder.stream(text)) == want
+            assert coder.word_bytes(text) == b"".join(map(coder.bytes_of.__getitem__, want))
+    coder.beginnings.clear()
+    words = ["unbelievably", "circumstances", "straightforward", "internationally"]
+    coder.encode(" ".join(words))
+    assert len(coder.beginnings) < sum(map(len, words)) / 2
+
+
 def test_piece_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "doc_id long, text string").withColumn("ids", F.lit(0))
     got = [(r.doc_id, r.n_ids, len(r.ids), r.round_trip) for r in pieces.encode_documents(docs).orderBy("doc_id").collect()]
