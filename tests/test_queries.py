@@ -3,7 +3,7 @@ import random
 import pandas as pd
 import pytest
 
-from eventloom.operators import sentences
+from eventloom.operators import clustering, sentences
 from eventloom.plans import catalogue
 
 
@@ -61,3 +61,29 @@ def test_kmeans_sweep_finds_more_than_seven_clusters(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = {r.k: r.is_best for r in catalogue.QUERIES["kmeans_sweep"](spark, str(tmp_path)).collect()}
     assert set(found) > {5, 6, 7, 8} and [k for k, best in found.items() if best] == [8]
+
+
+def test_sweep_works_out_runs_and_distances_once(spark, monkeypatch):
+    """Every k has its runs once, the best k as well; one pass over the pairs gives the scores that each k has by itself."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(3)], i % 2) for i in range(12)], "n long, v array<double>, label int")
+    runs, passes, own = [], [], clustering.silhouettes
+
+    class Counted(clustering.KMeans):
+        def fit(self, *args):
+            runs.append(self.getK())
+            return super().fit(*args)
+
+    monkeypatch.setattr(clustering, "KMeans", Counted)
+    monkeypatch.setattr(clustering, "silhouettes", lambda *args: passes.append(1) or own(*args))
+    made, scores = clustering.sweep(rows, "n", "v", 2, 4, 3)
+    assert sorted(runs) == [2] * 3 + [3] * 3 + [4] * 3 and len(passes) == 1
+    assert made.columns == ["n", "v", "label", "cluster_id"]
+    found = {r.k: r for r in scores.collect()}
+    best = next(k for k, r in found.items() if r.is_best)
+    assert best == max(found, key=lambda k: found[k].score)
+    each = {k: clustering.kmeans(rows, "v", k, 3) for k in (2, 3, 4)}
+    for k, one in each.items():
+        assert clustering.silhouette_scores(one, "n", "v", "cluster_id").agg({"silhouette": "avg"}).first()[0] == pytest.approx(found[k].score)
+    ids = lambda df: sorted((r.n, r.cluster_id) for r in df.collect())
+    assert ids(made) == ids(each[best])
