@@ -258,31 +258,28 @@ m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY label, pos)
 SELECT label, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m"""
 
 
-def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _relevance(spark: SparkSession, sf_dir: str, settings: selection.Settings = selection.Settings()) -> selection.Compared:
     """All vectors against every hundredth one, labels as clusters."""
     vectors = _t(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    rows = selection.scored(vectors.withColumnsRenamed({"vec_id": "chunk_id", "label": "cluster_id"}), asked)
-    return rows.withColumn("similarity", _r(F.col("similarity"), 9))
+    return selection.Compared(vectors.withColumnsRenamed({"vec_id": "chunk_id", "label": "cluster_id"}), asked, settings, digits=9)
 
 
 def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
-    ranked = _relevance(spark, sf_dir).withColumn("rank", F.row_number().over(best)).where("rank <= 30")
-    return ranked.select("query_id", "chunk_id", "cluster_id", "similarity")
+    return _relevance(spark, sf_dir).best(30).select("query_id", "chunk_id", "cluster_id", "similarity")
 
 
 def cluster_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.cluster_quotas(_relevance(spark, sf_dir))
+    found = _relevance(spark, sf_dir).quotas()
     return found.select("query_id", "cluster_id", "size", _r(F.col("score")).alias("score"), _r(F.col("weight")).alias("weight"), "quota")
 
 
 def zscore_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.zscores(_relevance(spark, sf_dir), "similarity", "query_id").select("query_id", "chunk_id", _r(F.col("z")).alias("z"))
+    return _relevance(spark, sf_dir).zscores(digits=6)
 
 
 def sim_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.floors(_relevance(spark, sf_dir)).select("query_id", _r(F.col("floor")).alias("floor"))
+    return _relevance(spark, sf_dir).floors().select("query_id", _r(F.col("floor")).alias("floor"))
 
 
 _REL = f"""q AS (SELECT vec_id AS query_id, {_V} AS q FROM embeddings WHERE vec_id % 100 = 0),
@@ -300,26 +297,20 @@ quotas AS MATERIALIZED (SELECT query_id, cluster_id, size, score, weight, (plus
 _QUOTA_SQL = f"WITH {_REL}, {_QUOTAS} SELECT query_id, cluster_id, size, round(score, 6) AS score, round(weight, 6) AS weight, quota FROM quotas"
 
 
-def _selected(spark: SparkSession, sf_dir: str, settings: selection.Settings = selection.Settings()) -> tuple[DataFrame, DataFrame]:
-    rows = _relevance(spark, sf_dir)
-    quotas = selection.cluster_quotas(rows)
-    return selection.select(rows, quotas, settings), quotas
-
-
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = _selected(spark, sf_dir)
+    found, _ = _relevance(spark, sf_dir).select()
     return found.select("query_id", "chunk_id", "pick", "cluster_id", _r(F.col("similarity")).alias("similarity"), _r(F.col("mmr_score")).alias("mmr_score"), "stop_reason")
 
 
 def blend_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen chunks in order of a blend of similarity and marginal relevance."""
-    found, _ = _selected(spark, sf_dir, selection.Settings(order="blend"))
+    found, _ = _relevance(spark, sf_dir, selection.Settings(order="blend")).select()
     return found.select("query_id", "chunk_id", "position", _r(F.col("final_score")).alias("final_score"))
 
 
 def cluster_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, quotas, picks and the reason to stop, by cluster."""
-    found, quotas = _selected(spark, sf_dir)
+    found, quotas = _relevance(spark, sf_dir).select()
     return selection.diagnostics(found, quotas).select("query_id", "cluster_id", "size", "quota", "picked", "stop_reason")
 
 

@@ -101,9 +101,8 @@ class EventLoom:
         held = self.catalog.table("chunks").where("embedding is not null")
         clustered, self.silhouettes = clustering.sweep(held, "chunk_id", "embedding")
         asked = self.spark.range(1).select(F.lit(0).cast("long").alias("query_id"), models.embed(embed_clean(F.lit(query)), self.embedder).alias("query_vector"))
-        rows = durable(selection.scored(clustered, durable(asked), self.settings.selection))
-        quotas = durable(selection.cluster_quotas(rows, self.settings.selection))
-        chosen = durable(selection.select(rows, quotas, self.settings.selection))
+        chosen, quotas = selection.Compared(clustered, durable(asked), self.settings.selection).select()
+        chosen = durable(chosen)
         #: sizes, quotas, picks and the reason to stop, by cluster
         self.diagnostics = selection.diagnostics(chosen, quotas)
         return chosen.join(held.select("chunk_id", "doc_id", "from_idx", "to_idx", "text"), "chunk_id")

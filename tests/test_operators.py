@@ -5,11 +5,12 @@ import unicodedata
 
 import numpy as np
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import models, parsing, stemming, text, vectors
 from eventloom.operators import chunking, context, evaluation, graph, keywords, selection, sentences
+from eventloom.plans import catalogue
 
 
 def one(spark, column, **values):
@@ -246,6 +247,58 @@ def test_normalised_similarity_comes_before_quotas(spark):
     assert sum(r.picked for r in found) == chosen.count() and all(r.picked <= r.quota for r in found)
 
 
+def test_compared_in_blocks_equals_the_table_of_pairs(spark):
+    """Ties, null vectors, a zero vector, a cluster of one: all that is asked of the pairs, by the operators over their table."""
+    rng = np.random.default_rng(11)
+    made = [(i, 9 if i == 5 else int(i % 3), None if i == 6 else [0.0] * 4 if i == 7 else rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(400)]
+    chunks = spark.createDataFrame(made, "chunk_id long, cluster_id int, embedding array<double>")
+    asked = spark.createDataFrame([(q, rng.normal(size=4).round(1).tolist()) for q in (3, 1, 8)], "query_id long, query_vector array<double>")
+    for how in ({"order": "blend"}, {"zscore": True}, {"gain_drop": -1.0, "min_gain": -9.0, "stop_negative": False, "max_n": 40, "floor_quantile": 0.2}, {"per_doc_max": 1}):
+        s = selection.Settings(**how)
+        rows = selection.scored(chunks, asked, s).withColumn("similarity", F.round("similarity", 9))
+        found = selection.Compared(chunks, asked, s, digits=9)
+        quotas = selection.cluster_quotas(rows, s)
+        plain = lambda df: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect())
+        assert plain(found.quotas()) == plain(quotas)
+        assert plain(found.floors()) == plain(selection.floors(rows, s)) == plain(found.floors(bins=1))
+        best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
+        top = rows.withColumn("r", F.row_number().over(best)).where("r <= 30").select("query_id", "chunk_id", "cluster_id", "similarity", "r")
+        assert plain(found.best(30)) == plain(top)
+        assert plain(found.zscores().select("query_id", "chunk_id", F.round("z", 5))) == plain(selection.zscores(rows, "similarity", "query_id").select("query_id", "chunk_id", F.round("z", 5)))
+        assert plain(found.select()[0]) == plain(selection.select(rows, quotas, s)), how
+    none = selection.Compared(chunks, asked.limit(0), digits=9)
+    assert [x.count() for x in (none.best(3), none.floors(), none.zscores(), *none.select())] == [0] * 5
+
+
+def test_picks_of_the_most_similar_are_sure_or_say_so():
+    """Picks over the candidates above a bound are those of all candidates, wherever they do not say that they are unsure."""
+    rng, said = np.random.default_rng(5), set()
+    for i in range(80):
+        v = rng.normal(size=(60, 6)) + (1 if i % 2 else 0.1)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        sim, cluster, quota = v @ v[0], rng.integers(0, 4, 60), {0: 9, 1: 3, 2: 8, 3: 0}
+        s = selection.Settings(min_n=4, max_n=15, soft_quotas=i % 3 == 0, floor_quantile=0.7 if i % 4 else 0.97)
+        below = float(np.quantile(sim, rng.random() * 0.9))
+        at = np.flatnonzero(sim >= below)
+        rest = selection.Rest({c: int((cluster == c).sum()) for c in range(4)}, below)
+        want, got = selection.pick(v, sim, cluster, np.arange(60), quota, s), selection.pick(v[at], sim[at], cluster[at], np.arange(len(at)), quota, s, rest)
+        said.add(got[1])
+        if got[1] == "unsure":
+            assert [at[j] for j, _ in got[0][:-1]] == [j for j, _ in want[0]][: len(got[0][:-1])]
+        else:
+            assert [at[j] for j, _ in got[0]] == [j for j, _ in want[0]] and got[1] == want[1]
+    assert {"unsure", "max_n"} < said
+
+
+def test_no_query_makes_a_table_of_pairs(spark, tmp_path):
+    """Neither the plans nor the shuffles of queries that keep few rows hold each pair of a chunk and a query."""
+    rng = np.random.default_rng(2)
+    spark.createDataFrame([(i, rng.normal(size=8).tolist(), i % 3) for i in range(500)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("relevance_topk", "cluster_quota", "zscore_relevance", "sim_floor", "mmr_select", "blend_order", "cluster_picks"):
+        plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
 def test_quotas_add_up(spark):
     rng = random.Random(2)
     rows = [(0, i, rng.choice([1, 2, 2, 2, 5]), rng.random()) for i in range(60)]
