@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.operators import clustering, sentences
 from eventloom.plans import catalogue
@@ -87,3 +89,29 @@ def test_sweep_works_out_runs_and_distances_once(spark, monkeypatch):
         assert clustering.silhouette_scores(one, "n", "v", "cluster_id").agg({"silhouette": "avg"}).first()[0] == pytest.approx(found[k].score)
     ids = lambda df: sorted((r.n, r.cluster_id) for r in df.collect())
     assert ids(made) == ids(each[best])
+
+
+def test_silhouettes_are_of_all_pairs(spark):
+    """Rows in several blocks, copies, a row alone, a row without a cluster, two clusterings at once, by brute force."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 3)).round(1)
+    v[7], v[8] = v[6], v[6]
+    a = [None if i == 9 else 77 if i == 10 else int(i % 3) for i in range(300)]
+    rows = spark.createDataFrame([(i, v[i].tolist(), a[i], i % 2) for i in range(300)], "id long, v array<double>, a int, b int")
+    gap = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    want = {}
+    for n, label in enumerate((a, [i % 2 for i in range(300)])):
+        for i, own in enumerate(label):
+            mean = {c: np.mean(gap[i][[j for j in range(300) if j != i and label[j] == c] or [i]]) for c in set(label) - {None}}
+            lone = own is None or label.count(own) == 1
+            near = 0 if lone else min(d for c, d in mean.items() if c != own)
+            want[n, i] = 0.0 if lone else (near - mean[own]) / max(near, mean[own])
+    got = clustering.silhouettes(rows, "id", "v", ["a", "b"]).collect()
+    assert {(r.n, r.k): r.silhouette for r in got} == {k: pytest.approx(x, abs=1e-12) for k, x in want.items()}
+    assert {(r.n, r.k): r.c for r in got} == {(n, i): (a[i], i % 2)[n] for n, i in want}
+
+
+def test_silhouette_has_no_sample(spark, tmp_path):
+    rows = spark.range(10_101).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding"), (F.col("id") % 2).cast("int").alias("label"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted((r.label, r.n) for r in catalogue.QUERIES["silhouette_exact"](spark, str(tmp_path)).collect()) == [(0, 5051), (1, 5050)]
