@@ -91,6 +91,21 @@ def test_sweep_works_out_runs_and_distances_once(spark, monkeypatch):
     assert ids(made) == ids(each[best])
 
 
+def test_a_pass_answers_all_runs(spark, monkeypatch):
+    """Far groups are found by the best run, and all runs of all k share the passes over the rows, which are tens."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, (np.eye(6)[i % 6] + rng.normal(size=6) * 0.02).tolist()) for i in range(120)], "n long, v array<double>")
+    passes, own = [], clustering._answers
+    monkeypatch.setattr(clustering, "_answers", lambda held, asked: passes.append(len(asked)) or own(held, asked))
+    made, scores = clustering.sweep(rows, "n", "v", 5, 7, 4)
+    groups = {(r.n % 6, r.cluster_id) for r in made.collect()}
+    assert len(groups) == 6 and [r.k for r in scores.collect() if r.is_best] == [6]
+    assert passes[0] == 12 and len(passes) < 60
+    monkeypatch.setattr(clustering, "MOST_NUMBERS", 1)
+    assert {(r.n % 6, r.cluster_id) for r in clustering.kmeans(rows, "v", 6, 2).collect()} and max(passes[-3:]) == 1
+    assert clustering.kmeans(rows.limit(0), "v", 2).count() == 0
+
+
 def test_silhouettes_are_of_all_pairs(spark):
     """Rows in several blocks, copies, a row alone, a row without a cluster, two clusterings at once, by brute force."""
     rng = np.random.default_rng(4)
