@@ -18,17 +18,17 @@ from eventloom.functions.text import split_list, stop_words
 TOP, LIMIT = 30, 50
 
 
-#: Terms that count, the most frequent ones of a corpus.
+#: Terms of a document that count where chunks are inserted, the most frequent ones.
 MOST_TERMS = 200_000
 
 
-def tfidf(rows: DataFrame, keys: list[str], tokens: Column, corpus: list[str] | None = None, min_df: int = 2, top: int | None = TOP, stops: tuple[str, ...] = (), most: int | None = MOST_TERMS) -> DataFrame:
+def tfidf(rows: DataFrame, keys: list[str], tokens: Column, corpus: list[str] | None = None, min_df: int = 2, top: int | None = TOP, stops: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """keys, term, weight (unit length per row set), rank: the strongest terms of each text.
 
     idf is ln((1 + n) / (1 + df)) + 1 over the texts that share the ``corpus`` columns (all texts if there are none).
     Term counts aggregate before they are shuffled; document frequencies join back by term, so a frequent term costs rows
-    of counts, never a gathered list. ``stops`` are no terms; of the terms in at least ``min_df`` texts the ``most`` frequent
-    ones count. Null and wordless texts have no terms, but count as texts.
+    of counts, never a gathered list. ``stops`` are no terms; all terms in at least ``min_df`` texts count, or the ``most``
+    frequent ones of them if that is given. Null and wordless texts have no terms, but count as texts.
     """
     corpus = corpus or []
     words = F.filter(tokens, lambda t: ~t.isin(*stops)) if stops else tokens

@@ -130,3 +130,13 @@ def test_silhouette_has_no_sample(spark, tmp_path):
     rows = spark.range(10_101).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding"), (F.col("id") % 2).cast("int").alias("label"))
     rows.write.parquet(str(tmp_path / "embeddings.parquet"))
     assert sorted((r.label, r.n) for r in catalogue.QUERIES["silhouette_exact"](spark, str(tmp_path)).collect()) == [(0, 5051), (1, 5050)]
+
+
+def test_tfidf_counts_every_term(spark, tmp_path):
+    """More terms than the 200,000 that counted once, each in two texts: all weights of a text are equal, and none is missing."""
+    letters = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.char(97 + F.pmod(F.floor(F.col("id") / F.pow(F.lit(26), i)), F.lit(26)).cast("int")))
+    terms = spark.range(250_000).select(F.array_join(letters, "").alias("t"), (F.col("id") % 25_000).alias("doc_id"))
+    half = terms.groupBy("doc_id").agg(F.array_join(F.collect_list("t"), " ").alias("text"))
+    half.unionByName(half.withColumn("doc_id", F.col("doc_id") + 25_000)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.QUERIES["tfidf_topk"](spark, str(tmp_path)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("weight").alias("a"), F.max("weight").alias("b"))
+    assert [tuple(r) for r in got.groupBy("n", "a", "b").count().collect()] == [(5, round(10**-0.5, 6), round(10**-0.5, 6), 50_000)]
