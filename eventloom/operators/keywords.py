@@ -6,12 +6,15 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.blocks import pieces
 from eventloom.functions.stemming import STEMMERS, language_of
 from eventloom.functions.text import split_list, stop_words
 
@@ -93,13 +96,57 @@ def keyword_text(entities: Column, keywords: Column, reverse: bool = True) -> Co
 
 
 def interleave(rows: DataFrame, key: str, order: str, keywords: str, limit: int = LIMIT) -> DataFrame:
-    """key, keywords: round robin over a key's lists in order, the first of equals without regard to case, ``limit`` at most."""
-    flat = rows.select(F.col(key).alias("__key"), F.col(order).alias("i"), F.posexplode(keywords).alias("k", "word"))
-    first = flat.groupBy("__key", F.lower("word").alias("low")).agg(F.min(F.struct("k", "i", "word")).alias("f"))
+    """key, keywords: round robin over a key's lists in order, the first of equals without regard to case, ``limit`` at most.
+
+    Each task first takes the first ``limit`` different words of the lists of a key that it holds, which are all that can be
+    among those of the whole key; only these are shuffled.
+    """
+    own = rows.select(F.col(key).alias("__key"), F.col(order).alias("i"), F.col(keywords).alias("words"), F.transform(keywords, F.lower).alias("low"))
+    types = dict(own.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 4096):
+            lists: dict = defaultdict(list)
+            keys, there = batch.column("__key").to_pylist(), batch.column("words").is_valid().to_pylist()
+            for n, (k, i) in enumerate(zip(keys, batch.column("i").to_pylist(), strict=True)):
+                if there[n]:
+                    lists[_hashable(k)].append((i, n))
+            words, low = batch.column("words"), batch.column("low")
+            at, out = [], []
+            for held in lists.values():
+                at.append(held[0][1])
+                out.append(_first(sorted(held, key=lambda x: (x[0] is not None, x[0])), words, low, limit))
+            kind = pa.list_(pa.struct([("k", pa.int32()), ("i", batch.column("i").type), ("word", pa.string()), ("low", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(at, pa.int64())), pa.array(out, kind)], names=["__key", "f"])
+
+    part = own.mapInArrow(run, f"__key {types['__key']}, f array<struct<k:int,i:{types['i']},word:string,low:string>>")
+    flat = part.select("__key", F.explode("f").alias("x"))
+    first = flat.groupBy("__key", F.col("x.low").alias("low")).agg(F.min(F.struct("x.k", "x.i", "x.word")).alias("f"))
     ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("__key").orderBy("f.k", "f.i", "low"))).where(F.col("n") <= limit)
     return ranked.groupBy(F.col("__key").alias(key)).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col("f.word").alias("w")))), lambda x: x.w).alias("keywords"))
 
 
+def _hashable(k: Any) -> Any:
+    return tuple(map(_hashable, k.values())) if isinstance(k, dict) else tuple(map(_hashable, k)) if isinstance(k, list) else k
+
+
+def _first(held: list[tuple[Any, int]], words: pa.Array, low: pa.Array, limit: int) -> list[dict]:
+    """The first different words of lists (order, row), round by round."""
+    found: dict = {}
+    open_lists = [(i, words[n], low[n]) for i, n in held]
+    k = 0
+    while open_lists and len(found) < limit:
+        open_lists = [x for x in open_lists if len(x[1]) > k]
+        for i, w, small in open_lists:
+            same = small[k].as_py()
+            if same not in found:
+                found[same] = {"k": k, "i": i, "word": w[k].as_py(), "low": same}
+            elif found[same]["k"] == k and found[same]["i"] == i:  # rows of equal order: the lesser word, as among tasks
+                found[same]["word"] = min(found[same]["word"], w[k].as_py())
+        k += 1
+    return sorted(found.values(), key=lambda x: (x["k"], x["i"] is not None, x["i"], x["low"] or ""))[:limit]
+
+
 _WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
 
 

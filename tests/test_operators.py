@@ -190,6 +190,26 @@ def test_keyword_lists(spark):
         keywords.text_keywords(F.col("x"), "textrank")
 
 
+def test_interleaving_shuffles_few_words_of_a_key(spark):
+    """Struct keys, lists in several tasks, repeats in other case, by brute force; no task gives more than ``limit`` words of a key."""
+    rng = random.Random(3)
+    made = [(Row(a=n % 3, b="x"), n, [rng.choice("abcdefghijABCDEFGHIJ") + str(rng.randint(0, 9)) for _ in range(rng.randint(0, 12))]) for n in range(300)]
+    rows = spark.createDataFrame(made, "k struct<a:int,b:string>, idx int, words array<string>").repartition(5)
+    want = {}
+    for a in range(3):
+        lists, seen = [w for k, _, w in made if k.a == a], {}
+        for i in range(12):
+            for w in lists:
+                if i < len(w):
+                    seen.setdefault(w[i].lower(), w[i])
+        want[a] = list(seen.values())[:50]
+    found = keywords.interleave(rows, "k", "idx", "words")
+    assert {r.k.a: r.keywords for r in found.collect()} == want
+    lists = keywords.interleave(rows, "k", "idx", "words", limit=4)._jdf.queryExecution()
+    plan = lists.executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow")  # outermost first: words are cut before they travel
+
+
 def pick_by_hand(vectors_, sim, cluster, quota, s, doc=None):
     """The rule: the best allowed candidate is held against every stop, its own similarity against the floor, then picked."""
     picks, near, doc = [], [0.0] * len(sim), doc or list(range(len(sim)))
