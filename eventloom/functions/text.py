@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.functions.blocks import mapped
+
 #: The punctuation of ASCII.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
@@ -107,11 +108,7 @@ def embed_clean(text: Column) -> Column:
     Only NFKD leaves the JVM, in Arrow batches; ASCII text would not need it.
     """
 
-    @F.pandas_udf("string")
-    def nfkd(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKD", x))
-
-    plain = F.regexp_replace(F.regexp_replace(F.lower(nfkd(text)), PUNCTUATION, ""), r"(?U)\d+|\s+", " ")
+    nfkd = mapped(text, lambda x: x if x.isascii() else unicodedata.normalize("NFKD", x), "string", pa.string())
+    plain = F.regexp_replace(F.regexp_replace(F.lower(nfkd), PUNCTUATION, ""), r"(?U)\d+|\s+", " ")
     words = sorted(stop_words())
     return F.array_join(F.filter(F.split(F.trim(plain), " +"), lambda w: (w != "") & ~w.isin(*words)), " ")

@@ -14,7 +14,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.blocks import pieces
+from eventloom.functions.blocks import mapped, pieces
 from eventloom.functions.stemming import STEMMERS, language_of
 from eventloom.functions.text import split_list, stop_words
 
@@ -174,33 +174,38 @@ def rake(text: str, top: int = 15, stops: frozenset = frozenset()) -> list[str]:
 def yake(text: str, top: int = 15, stops: frozenset = frozenset()) -> list[str]:
     """Single words by the statistics of case, place, frequency, context and spread; the lowest score is best."""
     sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]
-    count, upper, places = Counter(), Counter(), defaultdict(list)
-    left, right = defaultdict(Counter), defaultdict(Counter)
+    count, upper, places, within = Counter(), Counter(), defaultdict(list), Counter()
+    starts, ends, pairs = Counter(), Counter(), set()
     for i, sentence in enumerate(sentences):
         words = _WORD.findall(sentence)
-        for j, w in enumerate(words):
-            low = w.lower()
-            count[low] += 1
-            upper[low] += j > 0 and w[0].isupper()
-            places[low].append(i)
-            if j:
-                left[low][words[j - 1].lower()] += 1
-                right[words[j - 1].lower()][low] += 1
+        if not words:
+            continue
+        low = [w.lower() for w in words]
+        count.update(low)
+        upper.update([b for a, b in zip(words[1:], low[1:], strict=True) if a[0].isupper()])
+        within.update(set(low))
+        for w in low:
+            places[w].append(i)
+        starts[low[0]] += 1
+        ends[low[-1]] += 1
+        pairs.update(zip(low, low[1:]))  # noqa: B905  a word and the next one
     kept = [w for w in count if w not in stops and len(w) > 2 and not w.isdigit()]
     if not kept:
         return []
+    left, right = Counter(b for _, b in pairs), Counter(a for a, _ in pairs)  # different neighbours
     values = [count[w] for w in kept]
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     most = max(count.values())
     score = {}
     for w in kept:
-        case = upper[w] / (1 + math.log(count[w]))
-        place = math.log(math.log(3 + sorted(places[w])[len(places[w]) // 2]) + 1e-9) if places[w] else 0.0
-        frequency = count[w] / (mean + spread)
-        sides = [len(side[w]) / max(1, sum(side[w].values())) for side in (left, right)]
-        relation = 1 + sum(sides) * count[w] / most
-        different = len(set(places[w])) / len(sentences)
+        n = count[w]
+        case = upper[w] / (1 + math.log(n))
+        place = math.log(math.log(3 + places[w][n // 2]) + 1e-9)
+        frequency = n / (mean + spread)
+        sides = [left[w] / max(1, n - starts[w]), right[w] / max(1, n - ends[w])]
+        relation = 1 + sum(sides) * n / most
+        different = within[w] / len(sentences)
         score[w] = max(place, 1e-6) * relation / (case + frequency / relation + different / relation)
     return sorted(kept, key=lambda w: (score[w], w))[:top]
 
@@ -216,9 +221,7 @@ def text_keywords(text: Column, method: str, entities: Callable[[str], list[str]
         return split_list(text)
     find, stops = (rake if method == "rake" else yake), stop_words()
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: list(dict.fromkeys([*(entities(x) if entities else []), *find(x, top, stops)])) if x else [])
+    def one(x: str) -> list[str]:
+        return list(dict.fromkeys([*(entities(x) if entities else []), *find(x, top, stops)])) if x else []
 
-    return run(text)
+    return F.coalesce(mapped(text, one, "array<string>", pa.list_(pa.string())), F.array().cast("array<string>"))

@@ -8,10 +8,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.blocks import TEXTS, pieces
+
 #: What ends a sentence, and what may follow it.
 ENDS = ".!?…"
 CLOSERS = "\"'»«‚‘’“”)]"
@@ -59,14 +62,20 @@ def paragraph_spans(text: str, mode: str = "line") -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(ordered[:-1], ordered[1:], strict=True) if b > a]
 
 
+def _lists(found: list[list], columns: list[pa.Array], names: list[str]) -> pa.Array:
+    """The columns of all that was found as a list for each text."""
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
+
+
 def sentences(docs: DataFrame, mode: str = "line", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, idx, start, sentence. Null and empty texts give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("sentence", pa.string()), ("start", pa.int32())]))
-        for batch in batches:
-            found = [[{"sentence": s, "start": at} for s, at in split_sentences(x.as_py() or "", mode)] for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "found"])
+        for part in pieces(batches, TEXTS):
+            found = [split_sentences(x.as_py() or "", mode) for x in part.column(1)]
+            pair = [pa.array([x[n] for of in found for x in of], kind) for n, kind in enumerate((pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(found, pair, ["sentence", "start"])], names=["doc_id", "found"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, found array<struct<sentence:string,start:int>>")
@@ -77,10 +86,10 @@ def paragraphs(docs: DataFrame, mode: str = "line", doc_id: str = "doc_id", text
     """doc_id, p_idx, p_start, p_end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("p_start", pa.int32()), ("p_end", pa.int32())]))
-        for batch in batches:
-            found = [[{"p_start": a, "p_end": b} for a, b in paragraph_spans(x.as_py() or "", mode)] for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "found"])
+        for part in pieces(batches, TEXTS):
+            found = [paragraph_spans(x.as_py() or "", mode) for x in part.column(1)]
+            pair = [pa.array([x[n] for of in found for x in of], pa.int32()) for n in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(found, pair, ["p_start", "p_end"])], names=["doc_id", "found"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, found array<struct<p_start:int,p_end:int>>")

@@ -4,11 +4,12 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions import models, parsing, stemming, text, vectors
+from eventloom.functions import blocks, models, parsing, stemming, text, vectors
 from eventloom.operators import chunking, context, evaluation, graph, keywords, selection, sentences
 from eventloom.plans import catalogue
 
@@ -446,3 +447,26 @@ def test_models(spark):
     got = chat.select(models.chat_messages(F.col("m")).alias("c")).first().c
     assert got.system == "s" and [t.role for t in got.turns] == ["user", "assistant"]
     assert models.capital_entities("in New York with Ada") == ["New York", "Ada"]
+
+
+def test_texts_are_few_at_a_time(spark, monkeypatch):
+    """A worker turns parts of a batch into Python objects, never a whole batch: sentences, paragraphs, cleaning, keywords."""
+    texts = pa.array(["One two. Three \u00e4\ufb01!\n\nFour" if n % 3 else None for n in range(1000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), texts], names=["doc_id", "text"])
+    docs, made = spark.createDataFrame([(1, "x")], "doc_id long, text string"), []
+    own = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, kind: made.append(f) or own(self, f, kind))
+    sentences.sentences(docs, "sentence"), sentences.paragraphs(docs)
+    for f, (first, n) in zip(made, ((("One two.", 0), 3), ((0, 18), 3)), strict=True):
+        parts = list(f(iter([batch])))
+        assert max(map(len, parts)) <= blocks.TEXTS and sum(map(len, parts)) == 1000
+        found = [x for p in parts for x in p.column(1).to_pylist()]
+        assert found[0] == [] and tuple(found[1][0].values()) == first and len(found[1]) == n
+    udfs = []
+    monkeypatch.setattr(blocks.F, "arrow_udf", lambda kind: lambda f: udfs.append(f) or (lambda c: c))
+    text.embed_clean(F.col("text")), keywords.text_keywords(F.col("text"), "yake")
+    for f, want in zip(udfs, ("One two. Three a\u0308fi!\n\nFour", ["two", "three", "four"]), strict=True):
+        parts = list(f(iter([texts])))
+        found = [x for p in parts for x in p.to_pylist()]
+        assert max(map(len, parts)) <= blocks.TEXTS and len(found) == 1000 and found[0] is None
+        assert found[1] == want if isinstance(want, str) else set(found[1]) <= {*want, "one", "\u00e4\ufb01"}
